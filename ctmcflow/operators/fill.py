@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ctmcflow.session import Scratch
 
-COMPONENTS = 16
+COMPONENTS = 24
 ITERATIONS = 15
 INIT_ROWS = 2000  # only the starting point is drawn from a sample; EM itself reads every row
 
