@@ -106,8 +106,10 @@ def transform(scratch: Scratch, edges: DataFrame, keep: DataFrame, dense: int =
     keep = scratch.put(keep.select(NET, "node").distinct(), "gt_keep")
     while True:
         nodes = edges.select(NET, F.col("src").alias("node")).union(edges.select(NET, F.col("dst").alias("node"))).distinct()
-        size = nodes.join(keep, [NET, "node"], "left_anti").groupBy(NET).agg(F.count("*").alias("n"))
-        big = size.filter(F.col("n") > dense).select(NET)
+        free = nodes.join(keep, [NET, "node"], "left_anti")
+        size = free.groupBy(NET).agg(F.count("*").alias("n"))
+        near = edges.join(free.withColumnRenamed("node", "src"), [NET, "src"], "left_semi").groupBy(NET).agg(F.count_distinct("dst").alias("m"))
+        big = size.join(near, NET, "left").filter((F.col("n") > dense) | (F.col("m") > 5 * dense)).select(NET)
         if big.limit(1).count() == 0:
             break
         large = edges.join(big, NET, "left_semi")
@@ -200,13 +202,7 @@ def spectrum(edges: DataFrame, ab: DataFrame, k: int = 5, dense: int = 4 * DENSE
 
     def fn(names, p, tau, sides):
         q = (p - np.eye(len(names))) / tau[:, None]
-        w = np.full(len(names), 1.0 / len(names))
-        for _ in range(60):  # stationary weights of a reversible chain, to symmetrise it
-            w = 0.5 * (w + w @ p)
-        pi = np.maximum(w * tau, 1e-300)
-        s = np.sqrt(pi / pi.sum())
-        sym = q * s[:, None] / s[None, :]
-        ev = np.sort(np.linalg.eigvals(q).real if not np.allclose(sym, sym.T, rtol=1e-6, atol=1e-9) else np.linalg.eigvalsh(0.5 * (sym + sym.T)))[::-1]
+        ev = np.sort(np.linalg.eigvals(q).real)[::-1]  # real, since the chain is reversible
         ev = ev[ev < -1e-12][:k]
         return {"mode": np.arange(1, len(ev) + 1), "lambda": ev, "t": -1 / ev}
 
