@@ -39,6 +39,8 @@ LEAST_COUNT = 3
 NEAR = 0.2  # an n-gram belongs to every language with at least this part of its highest rate
 CHANGE = 3.0  # price of a change of language, in words of clear evidence
 PASSAGE = 8
+STRETCH = 20_000  # words of one text whose path is sought at once; passages are joined across stretches
+CELLS = 200_000  # words of a batch of texts handled together
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+")
 
 
@@ -130,31 +132,41 @@ def split_words(text: str) -> list[str]:
 
 
 def paths(scores: list[np.ndarray], change: float = CHANGE) -> list[np.ndarray]:
-    """Best language of every word, for many texts at once; texts are handled in order of length."""
-    out: list[np.ndarray] = [np.empty(0, int)] * len(scores)
-    order = [i for i in sorted(range(len(scores)), key=lambda i: len(scores[i])) if len(scores[i])]
-    for b in range(0, len(order), 512):
-        part = order[b : b + 512]
-        longest = len(scores[part[-1]])
-        s = np.zeros((len(part), longest, len(LANGUAGES)))
-        for r, i in enumerate(part):
-            s[r, : len(scores[i])] = scores[i]
-        v = s[:, 0].copy()
-        back = np.zeros((len(part), longest, len(LANGUAGES)), "int8")
-        for t in range(1, longest):
-            best = v.argmax(1)
-            top = np.take_along_axis(v, best[:, None], 1) - change
-            stay = v >= top
-            back[:, t] = np.where(stay, np.arange(len(LANGUAGES)), best[:, None])
-            v = np.where(stay, v, top) + s[:, t]
-        at = v.argmax(1)
-        path = np.zeros((len(part), longest), int)
-        for t in range(longest - 1, -1, -1):
-            path[:, t] = at
-            at = np.take_along_axis(back[:, t], at[:, None], 1)[:, 0]
-        for r, i in enumerate(part):
-            out[i] = path[r, : len(scores[i])]
-    return out
+    """Best language of every word, for many texts at once; texts of like length are handled together."""
+    pieces = [(i, a) for i, s in enumerate(scores) for a in range(0, len(s), STRETCH)]
+    cut = {(i, a): scores[i][a : a + STRETCH] for i, a in pieces}
+    pieces.sort(key=lambda k: len(cut[k]))
+    found: dict[tuple[int, int], np.ndarray] = {}
+    at = 0
+    while at < len(pieces):
+        end = at + 1
+        while end < len(pieces) and (end - at + 1) * len(cut[pieces[end]]) <= CELLS:
+            end += 1
+        part = pieces[at:end]
+        found.update(zip(part, _batch_paths([cut[k] for k in part], change)))
+        at = end
+    return [np.concatenate([found[i, a] for a in range(0, len(s), STRETCH)]) if len(s) else np.empty(0, int) for i, s in enumerate(scores)]
+
+
+def _batch_paths(part: list[np.ndarray], change: float) -> list[np.ndarray]:
+    longest = max(map(len, part))
+    s = np.zeros((len(part), longest, len(LANGUAGES)))
+    for r, x in enumerate(part):
+        s[r, : len(x)] = x
+    v = s[:, 0].copy()
+    back = np.zeros((len(part), longest, len(LANGUAGES)), "int8")
+    for t in range(1, longest):
+        best = v.argmax(1)
+        top = np.take_along_axis(v, best[:, None], 1) - change
+        stay = v >= top
+        back[:, t] = np.where(stay, np.arange(len(LANGUAGES)), best[:, None])
+        v = np.where(stay, v, top) + s[:, t]
+    at = v.argmax(1)
+    path = np.zeros((len(part), longest), int)
+    for t in range(longest - 1, -1, -1):
+        path[:, t] = at
+        at = np.take_along_axis(back[:, t], at[:, None], 1)[:, 0]
+    return [path[r, : len(x)] for r, x in enumerate(part)]
 
 
 def _confidence(total: np.ndarray, best: int) -> float:

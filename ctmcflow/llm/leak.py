@@ -239,13 +239,14 @@ def search_shard(items: Items, text: np.ndarray, doc_start: np.ndarray, exact: i
 def _scan(ids: list[int], texts: list[str], params: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
-        docs, starts, ends, flat, begin = [], [], [], [], []
+        docs, first, starts, ends, flat, begin = [], [], [], [], [], []
+        overlap = int(items.length.max()) if len(items.length) else 0
 
         def shard():
             rows = []
             if len(flat) and len(items.seeds):
                 for d, item, a, z in search_shard(items, np.array(flat, "int64"), np.array(begin, "int64"), **params):
-                    rows.append((docs[d], int(items.ids[item]), a, z, starts[begin[d] + a], ends[begin[d] + z]))
+                    rows.append((docs[d], int(items.ids[item]), first[d] + a, first[d] + z, starts[begin[d] + a], ends[begin[d] + z]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             c = list(zip(*rows)) or [[]] * 6
             names = ["doc_id", "eval_id", "first_word", "last_word", "start_char", "end_char"]
@@ -256,15 +257,19 @@ def _scan(ids: list[int], texts: list[str], params: dict):
                 if not text:
                     continue
                 w, s, e = items.map.text(text)
-                docs.append(doc)
-                begin.append(len(flat))
-                flat += [*w, 0]
-                starts += [*s, 0]
-                ends += [*e, 0]
-                if len(flat) >= SHARD_WORDS:
-                    yield shard()
-                    for x in (docs, starts, ends, flat, begin):
-                        x.clear()
+                # a text longer than a shard is indexed in pieces that overlap by the longest item
+                for at in range(0, max(1, len(w) - overlap), SHARD_WORDS):
+                    end = at + SHARD_WORDS + overlap
+                    docs.append(doc)
+                    first.append(at)
+                    begin.append(len(flat))
+                    flat += [*w[at:end], 0]
+                    starts += [*s[at:end], 0]
+                    ends += [*e[at:end], 0]
+                    if len(flat) >= SHARD_WORDS:
+                        yield shard()
+                        for x in (docs, first, starts, ends, flat, begin):
+                            x.clear()
         if flat:
             yield shard()
 
