@@ -22,6 +22,8 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ctmcflow.session import Scratch
+
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt"]
 # Spellings of the languages' names, lower case, without regions.
 SPELLINGS = {
@@ -107,7 +109,8 @@ def train(df: DataFrame, slots: int = SLOTS) -> Filters:
     """Filters from all rows whose label is one of the languages. No such row: filters that know nothing."""
     rows = df.select(label_code(F.col("lang")).alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL")
     words = rows.select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}'’]+")).alias("word")).filter("length(word) BETWEEN 1 AND 40")
-    words = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # distinct words are few beside the texts: written once, read for the totals and for the n-grams
+    words = Scratch(df.sparkSession, "words").put(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     g = words.select("lang", F.explode(grams(F.col("word"))).alias("gram"), "n").groupBy("gram").pivot("lang", LANGUAGES).agg(F.sum("n"))
     g = g.fillna(0)
     total = words.select("lang", (F.col("n") * F.size(grams(F.col("word")))).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
@@ -228,8 +231,9 @@ def wrong_labels(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> Dat
 
     A language counts beside the main one from ``passage`` words in one stretch. Texts without words are no case.
     """
-    rows = passages(df, filters, passage).filter("lang IS NOT NULL").groupBy("doc_id", "lang").agg(F.max("main").alias("main"))
-    many = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("main").alias("main"))
+    p = passages(df, filters, passage).filter("lang IS NOT NULL")
+    # a document has at most six languages
+    many = p.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("main").alias("main"))
     told = df.select("doc_id", label_code(F.col("lang")).alias("told"))
-    case = many.join(told, "doc_id").filter("n > 1 OR told IS NULL OR told <> main").select("doc_id")
-    return rows.join(case, "doc_id", "left_semi").select("doc_id", "lang")
+    case = many.join(told, "doc_id").filter("size(langs) > 1 OR told IS NULL OR told <> main")
+    return case.select("doc_id", F.explode("langs").alias("lang")).distinct()
