@@ -155,6 +155,8 @@ def file_fields(df: DataFrame) -> DataFrame:
 def file_scripts(fields: DataFrame) -> DataFrame:
     """One row per file and field: source, file_seq, file_id, path, field (canonical, else as written), operation, type."""
     files = fields.groupBy("source", "file_seq", "file_id").agg(F.collect_list(F.struct("path", "type", "n")).alias("fields"))
+    # few bytes but work in Python: spread over all tasks whatever the size
+    files = files.repartition(int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
@@ -163,7 +165,7 @@ def file_scripts(fields: DataFrame) -> DataFrame:
             for source, seq, fid, got in pdf.itertuples(index=False):
                 got = sorted((f["path"], f["type"] or "null", int(f["n"])) for f in got)
                 most = max(n for _, _, n in got)
-                key = tuple((p, t, round(n / most, 2)) for p, t, n in got)
+                key = tuple((p, t, round(n / most, 1)) for p, t, n in got)  # files alike share one script
                 if key not in known:
                     known[key] = script(list(key))
                 types = {p: t for p, t, _ in got}
