@@ -264,15 +264,18 @@ def profile(df: DataFrame, columns: list[str], load: str = "load_id", patterns:
     """
     patterns = patterns or {}
     spark = df.sparkSession
-    df = df.withColumn("_load", F.coalesce(F.col(f"`{load}`").cast("long"), F.lit(-1)))
-    aggs = [F.count("*").alias("n")]
+    key = "_load"
+    while key in df.columns:
+        key += "_"
+    df = df.withColumn(key, F.coalesce(F.col(f"`{load}`").cast("long"), F.lit(-1)))
+    aggs = [F.count("*").alias("_rows")]
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
         ok = x.isNotNull() & ~F.isnan(x) if _kind(df.schema[c].dataType) == "num" else x.isNotNull()
         aggs.append(F.count_if(ok).alias(f"v{i}"))
         if c in patterns:
             aggs.append(F.count_if(ok & ~F.coalesce(F.expr(patterns[c]), F.lit(False))).alias(f"b{i}"))
-    counts = sorted(df.groupBy("_load").agg(*aggs).collect(), key=lambda r: r["_load"])
+    counts = sorted(df.groupBy(F.col(key).alias("_load")).agg(*aggs).collect(), key=lambda r: r["_load"])
     loads = np.array([r["_load"] for r in counts], "int64")
     rows = []
     per = max(1, CELLS // max(1, len(loads)))
@@ -280,7 +283,7 @@ def profile(df: DataFrame, columns: list[str], load: str = "load_id", patterns:
         block = columns[first : first + per]
         kinds = [_kind(df.schema[c].dataType) for c in block]
         sizes = np.array([[r[f"v{first + i}"] for r in counts] for i in range(len(block))], "int64")
-        flat = _flat(df.drop(load).withColumnRenamed("_load", load), block, load)
+        flat = _flat(df, block, key)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         runs = flat.mapInArrow(_unpivot(kinds, loads, first), VALUES)
         runs = runs.repartitionByRange(parts, "col", "lng", "num", "txt").sortWithinPartitions("col", "lng", "num", "txt")
@@ -357,9 +360,9 @@ def _assemble(columns, counts, loads, sizes, first, summary, picks, patterns) ->
             return a + (b - a) * (pos - np.floor(pos)) if b != a else a
 
         for l, r in enumerate(counts):
-            nulls = int(r["n"] - n[l])
-            out.append((int(loads[l]), name, int(r["n"]), nulls, nulls / r["n"], int(n[l]), int(distinct[l]), low[l], high[l], int(bad[l]), bad[l] / max(1, int(n[l])), *(None if (x := q(l, k)) is None else float(x) for k in QUANTILES), float(ks[l]) if rest[l] and n[l] else 0.0, float(tv[l]) if rest[l] else 0.0, float(news[l]) if rest[l] else 0.0))
-        rows = sum(r["n"] for r in counts)
+            nulls = int(r["_rows"] - n[l])
+            out.append((int(loads[l]), name, int(r["_rows"]), nulls, nulls / r["_rows"], int(n[l]), int(distinct[l]), low[l], high[l], int(bad[l]), bad[l] / max(1, int(n[l])), *(None if (x := q(l, k)) is None else float(x) for k in QUANTILES), float(ks[l]) if rest[l] and n[l] else 0.0, float(tv[l]) if rest[l] else 0.0, float(news[l]) if rest[l] else 0.0))
+        rows = sum(r["_rows"] for r in counts)
         out.append((None, name, rows, int(rows - n.sum()), float((rows - n.sum()) / rows), int(n.sum()), all_distinct, all_low, all_high, int(sum(bad)), sum(bad) / max(1, int(n.sum())), None, None, None, None, None, None))
     return out
 
@@ -385,7 +388,7 @@ def changed_loads(prof: DataFrame, least: float = 0.1, sigmas: float = 5.0, few:
     """Loads whose column differs as a whole from the bulk of the others: (load_id, column_name, reason).
 
     Null and violation rates are held against the median over the loads, the curve (ks) against all
-    other rows, value shares (tv) likewise where a column has few values. A difference counts from
+    other rows, value shares (tv) likewise where a column has few values, both less their median. A difference counts from
     ``least`` on and beyond what a load of that size shows by chance; isolated values stay below both.
     """
     rows = prof.filter("load IS NOT NULL")
@@ -400,7 +403,9 @@ def changed_loads(prof: DataFrame, least: float = 0.1, sigmas: float = 5.0, few:
         return F.abs(F.col(c) - m) > F.greatest(F.lit(least), sigmas * F.sqrt(p * (1 - F.least(p, F.lit(0.99))) / n))
 
     values = F.greatest(F.col("n_values"), F.lit(1))
-    curve = F.col("ks") > F.greatest(F.lit(least), 2.0 / F.sqrt(values))
-    shares = (F.col("all_distinct") <= few) & (F.col("tv") > F.greatest(F.lit(least), 2.5 / F.sqrt(values)))
+    # the other loads hold the changed ones too, which lifts every load's distance alike: the median takes that off
+    chance = F.greatest(F.lit(least), 1.3 / F.sqrt(values))
+    curve = F.col("ks") - F.col("m_ks") > chance
+    shares = (F.col("all_distinct") <= few) & (F.col("tv") - F.col("m_tv") > chance)
     why = F.filter(F.array(*[F.when(x, F.lit(w)) for x, w in ((rate("null_rate"), "null rate"), (rate("violation_rate"), "unusual form"), (curve, "distribution"), (shares, "values"))]), lambda x: x.isNotNull())
     return j.select(F.col("load").alias("load_id"), "column_name", F.concat_ws(", ", why).alias("reason")).filter("reason <> ''")
