@@ -104,11 +104,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Backward search and location over a text of small non-negative integers that ends in its least one."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, top: int = 0):
+        """top: symbols that patterns may hold lie below it, whether the text has them or not."""
         n = len(text)
         sa = suffix_array(text)
         bwt = text[sa - 1]
-        self.n, self.bits = n, max(1, int(text.max()).bit_length())
+        self.n, self.bits = n, max(1, int(max(text.max(), top - 1)).bit_length())
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=1 << self.bits))]
         self.ones, self.zeros = [], []
         level = bwt.copy()
@@ -186,7 +187,7 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def search_shard(items: Items, text: np.ndarray, doc_start: np.ndarray, exact: int = EXACT, fuzzy: int = FUZZY, errors: int = ERRORS):
     """(document, item, first word, last word) of every matching stretch; word places count from the document's start."""
-    fm = FMIndex(text)
+    fm = FMIndex(text, items.map.top)
     low, high = fm.search(items.seeds)
     hit = np.flatnonzero(high > low)
     pos = fm.locate(_ranges(low[hit], high[hit] - low[hit]))
