@@ -125,10 +125,10 @@ def shuffled(indexed: DataFrame, n: int, times: int, column: str, seed: int = 42
         a = int(rng.integers(1, max(2, n)))
         if math.gcd(a, n) == 1:
             maps.append((len(maps), a, int(rng.integers(0, max(1, n)))))
-    m = indexed.sparkSession.createDataFrame(maps, "rep int, a long, b long")
+    m = indexed.sparkSession.createDataFrame(maps, "rep int, _a long, _b long")
     other = indexed.select((F.col("rn") - 1).alias("_to"), F.col(column).alias(f"s_{column}"))
-    j = indexed.crossJoin(F.broadcast(m)).withColumn("_to", (F.col("a") * (F.col("rn") - 1) + F.col("b")) % F.lit(max(1, n)))  # ``times`` replicates
-    return j.join(other, "_to").drop("_to", "a", "b")
+    j = indexed.crossJoin(F.broadcast(m)).withColumn("_to", (F.col("_a") * (F.col("rn") - 1) + F.col("_b")) % F.lit(max(1, n)))  # ``times`` replicates
+    return j.join(other, "_to").drop("_to", "_a", "_b")
 
 
 def r2_of(g: np.ndarray, b: np.ndarray, yy: float, n: int) -> float:
