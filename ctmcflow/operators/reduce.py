@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ctmcflow.operators.graph import NET
 from ctmcflow.session import Scratch
 
-DENSE = 300
+DENSE = 800
 EDGES = "network_id string, src long, dst long, p double, a double, c double"
 
 
@@ -64,37 +64,40 @@ def remove_round(scratch: Scratch, edges: DataFrame, keep: DataFrame) -> DataFra
     return scratch.put(rest.unionByName(made).groupBy(NET, "src", "dst").agg(*[F.sum(k).alias(k) for k in "pac"]), "gt_edges", keep=2)
 
 
-def eliminate(m: np.ndarray, drop: list[int]) -> np.ndarray:
-    """Dense form: m[3, src, dst]; removes the states in ``drop`` one by one."""
-    live = np.ones(m.shape[1], bool)
-    for x in drop:
-        live[x] = False
-        o = np.flatnonzero(live)
-        d = m[0, x, o].sum()
+def eliminate(m: np.ndarray, kept: int) -> np.ndarray:
+    """Dense form m[3, src, dst]: removes the states from the last one down to number ``kept``, in place."""
+    for x in range(m.shape[1] - 1, kept - 1, -1):
+        d = m[0, x, :x].sum()
         if d <= 0:
             continue
-        h = _loops(d, m[:, x, x])
-        i, out = m[:, o, x], m[:, x, o]
-        ih = _times(tuple(i), h)
-        new = _times(tuple(k[:, None] for k in ih), tuple(k[None, :] for k in out))
-        m[np.ix_(range(3), o, o)] += np.stack(new)
-    return m
+        h = _loops(d, m[:, x, x].copy())
+        rows, cols = np.flatnonzero(m[0, :x, x]), np.flatnonzero(m[0, x, :x])
+        i, o = _times(tuple(m[:, rows, x]), h), m[:, x, cols]
+        new = (np.outer(i[0], o[0]), np.outer(i[1], o[0]) + np.outer(i[0], o[1]), np.outer(i[2], o[0]) + 2 * np.outer(i[1], o[1]) + np.outer(i[0], o[2]))
+        for k in range(3):
+            if len(rows) == len(cols) == x:
+                m[k, :x, :x] += new[k]
+            else:
+                m[k][np.ix_(rows, cols)] += new[k]
+    return m[:, :kept, :kept]
 
 
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    names = np.unique(np.r_[pdf["src"], pdf["dst"]])
-    s, d = np.searchsorted(names, pdf["src"]), np.searchsorted(names, pdf["dst"])
+    names, inv = np.unique(np.r_[pdf["src"], pdf["dst"]], return_inverse=True)
+    n = len(pdf)
+    kept = np.zeros(len(names), bool)
+    kept[inv[:n][pdf["keep_src"].to_numpy(bool)]] = True
+    kept[inv[n:][pdf["keep_dst"].to_numpy(bool)]] = True
+    degree = np.bincount(inv, minlength=len(names))
+    order = np.lexsort((-degree, ~kept))  # kept states first, then those of high degree; removal starts at the end
+    place = np.empty(len(names), int)
+    place[order] = np.arange(len(names))
     m = np.zeros((3, len(names), len(names)))
     for k, col in enumerate("pac"):
-        m[k, s, d] = pdf[col]
-    kept = set(pdf["src"][pdf["keep_src"]]) | set(pdf["dst"][pdf["keep_dst"]])
-    degree = (m[0] > 0).sum(0) + (m[0] > 0).sum(1)
-    drop = [i for i in np.argsort(degree, kind="stable") if names[i] not in kept]
-    m = eliminate(m, drop)
-    stay = np.array([i for i, n in enumerate(names) if n in kept], int)
-    b = m[0][np.ix_(stay, stay)]
-    x, y = np.nonzero(b)
-    return pd.DataFrame({NET: pdf[NET].iloc[0], "src": names[stay[x]], "dst": names[stay[y]], **{k: m[q][stay[x], stay[y]] for q, k in enumerate("pac")}})
+        m[k, place[inv[:n]], place[inv[n:]]] = pdf[col]
+    m = eliminate(m, int(kept.sum()))
+    x, y = np.nonzero(m[0])
+    return pd.DataFrame({NET: pdf[NET].iloc[0], "src": names[order[x]], "dst": names[order[y]], **{k: m[q][x, y] for q, k in enumerate("pac")}})
 
 
 def transform(scratch: Scratch, edges: DataFrame, keep: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -109,7 +112,7 @@ def transform(scratch: Scratch, edges: DataFrame, keep: DataFrame, dense: int =
         free = nodes.join(keep, [NET, "node"], "left_anti")
         size = free.groupBy(NET).agg(F.count("*").alias("n"))
         near = edges.join(free.withColumnRenamed("node", "src"), [NET, "src"], "left_semi").groupBy(NET).agg(F.count_distinct("dst").alias("m"))
-        big = size.join(near, NET, "left").filter((F.col("n") > dense) | (F.col("m") > 5 * dense)).select(NET)
+        big = size.join(near, NET, "left").filter((F.col("n") > dense) | (F.col("m") > max(2 * dense, 64))).select(NET)
         if big.limit(1).count() == 0:
             break
         large = edges.join(big, NET, "left_semi")
