@@ -41,9 +41,10 @@ LEAST_COUNT = 3
 NEAR = 0.2  # an n-gram belongs to every language with at least this part of its highest rate
 CHANGE = 3.0  # price of a change of language, in words of clear evidence
 PASSAGE = 8
+LEAST_CONFIDENCE = 0.05  # below it a text too short to tell does not refute its label
 STRETCH = 20_000  # words of one text whose path is sought at once; passages are joined across stretches
 CELLS = 200_000  # words of a batch of texts handled together
-_WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*|\p{N}+")
 
 
 def label_code(c: Column) -> Column:
@@ -111,6 +112,8 @@ def train(df: DataFrame, slots: int = SLOTS) -> Filters:
     words = rows.select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}'’]+")).alias("word")).filter("length(word) BETWEEN 1 AND 40")
     # distinct words are few beside the texts: written once, read for the totals and for the n-grams
     words = Scratch(df.sparkSession, "words").put(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    # quotes around a word and marks without a letter (as in emoji) are no part of it
+    words = words.withColumn("word", F.regexp_replace("word", "^[^\\p{L}]+|['’]+$", "")).filter("word <> ''")
     g = words.select("lang", F.explode(grams(F.col("word"))).alias("gram"), "n").groupBy("gram").pivot("lang", LANGUAGES).agg(F.sum("n"))
     g = g.fillna(0)
     total = words.select("lang", (F.col("n") * F.size(grams(F.col("word")))).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
@@ -229,11 +232,13 @@ def document_languages(df: DataFrame, filters: Filters) -> DataFrame:
 def wrong_labels(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> DataFrame:
     """doc_id, lang: the languages of every document whose label is missing, of another language, or one of several.
 
-    A language counts beside the main one from ``passage`` words in one stretch. Texts without words are no case.
+    A language counts beside the main one from ``passage`` words in one stretch. Texts without words (also those of
+    emoji and lone combining marks) are no case, nor are texts of one language that their label contradicts with a
+    confidence under ``LEAST_CONFIDENCE``.
     """
     p = passages(df, filters, passage).filter("lang IS NOT NULL")
     # a document has at most six languages
-    many = p.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("main").alias("main"))
+    many = p.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("main").alias("main"), F.max("confidence").alias("confidence"))
     told = df.select("doc_id", label_code(F.col("lang")).alias("told"))
-    case = many.join(told, "doc_id").filter("size(langs) > 1 OR told IS NULL OR told <> main")
+    case = many.join(told, "doc_id").filter(f"size(langs) > 1 OR told IS NULL OR (told <> main AND confidence >= {LEAST_CONFIDENCE})")
     return case.select("doc_id", F.explode("langs").alias("lang")).distinct()

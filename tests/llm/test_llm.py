@@ -227,7 +227,7 @@ def test_language_passages(spark):
     for i in range(240):
         lang = list(SENTENCES)[i % 4]
         rows.append((i, " ".join(random.Random(i).sample(SENTENCES[lang], 3)), lang if i % 9 else "en", "c"))
-    rows += [(1000, SENTENCES["de"][0] + " " + SENTENCES["fr"][0], "de", "c"), (1001, SENTENCES["en"][0] + " c'est la vie", "en_US", "c"), (1002, None, None, "c"), (1003, "", "de", "c"), (1004, "12 34 😀", None, "c"), (1005, SENTENCES["es"][1], "n/a", "c"), (1006, (SENTENCES["de"][1] + " ") * 3000, "German", "c"), (1007, SENTENCES["fr"][1].upper(), "FR", "c")]
+    rows += [(1000, SENTENCES["de"][0] + " " + SENTENCES["fr"][0], "de", "c"), (1001, SENTENCES["en"][0] + " c'est la vie", "en_US", "c"), (1002, None, None, "c"), (1003, "", "de", "c"), (1004, "12 34 😀", None, "c"), (1005, SENTENCES["es"][1], "n/a", "c"), (1008, "❤️ 👍🏽 😀", None, "c"), (1009, "❤️ 👩‍🔧", "es", "c"), (1006, (SENTENCES["de"][1] + " ") * 3000, "German", "c"), (1007, SENTENCES["fr"][1].upper(), "FR", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, seg string")
     f = language.train(df)
     got = {(r["doc_id"], r["lang"]) for r in language.wrong_labels(df, f).collect()}
