@@ -210,3 +210,21 @@ def spectrum(edges: DataFrame, ab: DataFrame, k: int = 5, dense: int = 4 * DENSE
         return {"mode": np.arange(1, len(ev) + 1), "lambda": ev, "t": -1 / ev}
 
     return _with_side(edges, ab).groupBy(NET).applyInPandas(_local(fn, dense), "network_id string, mode int, lambda double, t double")
+
+
+def spectral_features(modes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """Seven features of a network's slow modes (``spectrum``) and its edges.
+
+    gap and fiedler are -lambda_1; gap_ratio is lambda_1 / lambda_2 and gap_ratio_inv its inverse (null with one mode);
+    ramanujan_score is gap / (2 sqrt(d - 1)) with the mean degree d, at least 2; entropy is that of the first k
+    eigenvalues' shares, effective_dimension its exponential. Networks without a mode below zero have nulls.
+    """
+    degree = edges.groupBy(NET, "src").agg(F.count(F.when(F.col("src") != F.col("dst"), 1)).alias("d")).groupBy(NET).agg(F.greatest(F.lit(2.0), F.avg("d")).alias("degree"))
+    at = lambda i: F.max(F.when(F.col("mode") == i, F.col("lambda")))
+    x = F.when(F.col("mode") <= k, F.abs("lambda"))
+    # -sum p ln p with p = x / sum x
+    m = modes.groupBy(NET).agg(at(1).alias("l1"), at(2).alias("l2"), (F.ln(F.sum(x)) - F.sum(x * F.ln(x)) / F.sum(x)).alias("entropy"))
+    j = degree.join(m, NET, "left")
+    gap = -F.col("l1")
+    return j.select(NET, gap.alias("gap"), (F.col("l1") / F.col("l2")).alias("gap_ratio"), (F.col("l2") / F.col("l1")).alias("gap_ratio_inv"), gap.alias("fiedler"),
+        (gap / (2 * F.sqrt(F.col("degree") - 1))).alias("ramanujan_score"), "entropy", F.exp("entropy").alias("effective_dimension"))

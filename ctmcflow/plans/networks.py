@@ -253,6 +253,11 @@ def spectrum(spark, sf):
     return reduce.spectrum(e, ab)
 
 
+def spectral_features(spark, sf):
+    k, _, e, ab = _reduced(spark, sf, "g8")
+    return reduce.spectral_features(k.scratch.put(reduce.spectrum(e, ab, 10), "modes"), e)
+
+
 def committor_sweeps(spark, sf):
     """Ten sweeps of q <- B q with q = 0 on A and 1 on B, from q = 0."""
     k = Ktn(spark, sf, "g7")
@@ -382,7 +387,7 @@ def feature_row(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     ktn_edge_barriers, ktn_barrier_min_pair, ktn_barrier_percentiles, ktn_barrier_histogram, ktn_low_barrier_degree, ktn_components, ktn_component_sizes, ktn_lcc, ktn_basin_keep_set, ktn_keep_sweep,
-    ctmc_rates, ctmc_branching, ctmc_wait, ctmc_pi, ctmc_detailed_balance, ctmc_generator_sanity, ctmc_stationarity, ctmc_truncated, gt_eliminate_one, gt_reduce, gt_validate, ab_kinetics, committor_mfpt, spectrum,
+    ctmc_rates, ctmc_branching, ctmc_wait, ctmc_pi, ctmc_detailed_balance, ctmc_generator_sanity, ctmc_stationarity, ctmc_truncated, gt_eliminate_one, gt_reduce, gt_validate, ab_kinetics, committor_mfpt, spectrum, spectral_features,
     committor_sweeps, pagerank_10, eigvec_centrality_10, hops_ab, closeness_ab, sssp_branch, sssp_rate, sssp_barrier, distance_features, path_features, topology_features, triangles, clustering_coeff, modularity, community_features, feature_row,
 )} | {f"keep_{s}": _keep(s) for s in ctmc.KEEP_STYLES}
 

@@ -229,6 +229,24 @@ def mann_whitney(spark, sf):
     return m.select("g1", "g2", "n1", "n2", "u", F.round("rank_biserial", 6).alias("rank_biserial"), F.round("z", 6).alias("z"), seq.effect_label(F.col("rank_biserial")).alias("effect"))
 
 
+def class_pair_tests(spark, sf):
+    """Mann-Whitney tests of the class pairs with normal p, Bonferroni's correction over the pairs and flags."""
+    m = mann_whitney(spark, sf).select("g1", "g2", "u", "z")
+    p = F.least(F.lit(1.0), stats.two_sided(F.col("z")))
+    m = m.withColumn("p", p).crossJoin(F.broadcast(m.agg(F.count("*").alias("pairs"))))  # one row
+    m = m.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.col("pairs")))
+    return m.select("g1", "g2", "u", F.round("p", 6).alias("p"), F.round("p_bonferroni", 6).alias("p_bonferroni"), (F.col("p_bonferroni") < 0.05).cast("int").alias("significant_005"), (F.col("p_bonferroni") < 0.01).cast("int").alias("significant_001"))
+
+
+def pearson_tests(spark, sf):
+    """Pearson r of each regressor with the target and its p by Fisher's transform."""
+    t = targets(spark, sf).dropna(subset=["lt_ab", *_XS])
+    a = t.agg(F.count("*").alias("n"), *[F.corr("lt_ab", x).alias(x) for x in _XS])
+    r = a.select("n", F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("r")) for x in _XS])))
+    p = stats.two_sided(F.atanh("r") * F.sqrt(F.col("n") - 3))
+    return r.select("feature", "n", F.round("r", 5).alias("r"), F.round(p, 5).alias("p"))
+
+
 def ols_univariate(spark, sf):
     t = targets(spark, sf)
     return t.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.regr_slope("lt_ab", "ln_n"), 6).alias("slope"), F.round(F.regr_intercept("lt_ab", "ln_n"), 6).alias("intercept"), F.round(F.regr_r2("lt_ab", "ln_n"), 6).alias("r2"))
@@ -326,6 +344,19 @@ def model_comparison(spark, sf):
     return out.orderBy(F.desc_nulls_last("r2"), "n_features", "alpha")
 
 
+# name -> (alphas, shares of the absolute penalty)
+PENALISED = {
+    "lasso_01": ([0.1], [1.0]), "lasso_1": ([1.0], [1.0]), "lasso_cv": ([10 ** (k / 4) for k in range(-12, 5)], [1.0]),
+    "elastic_net": ([0.5], [0.5]), "elastic_net_cv": ([10 ** (k / 4) for k in range(-12, 5)], [0.1, 0.3, 0.5, 0.7, 0.9]),
+}
+
+
+def penalised_models(spark, sf):
+    """Lasso and elastic-net models, fixed and chosen by cross-validation, by held-out error over five folds."""
+    _, d = design(spark, sf, "pen")
+    return spark.createDataFrame(stats.penalised(d, _XS, "lt_ab", NET, PENALISED), "model string, alpha double, l1_ratio double, r2 double, rmse double, n long, nonzero int")
+
+
 def perm_importance(spark, sf):
     """Drop of R^2 when one regressor is shuffled, mean and deviation over replicates."""
     s, d = design(spark, sf, "imp")
@@ -401,8 +432,8 @@ def mean_baseline(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     edge_features, node_features, enrich_nodes, sparsify_topk, ablation_pivot, lograte_moments, graph_metrics, message_pass, pooling, micro_report_rows, status_counts, status_rollup, report_lines, relerr_between_loads, micro_vs_coarse,
-    networks_without_report, networks_in_both, ids_in_any, first_of_keys, padded_attributes, sequence_features, sequence_classes, log10_targets, merged_features, numeric_columns, class_descriptives, kruskal, mann_whitney, ols_univariate,
-    corr_matrix, corr_topk, variant_class_pivot, best_worst, slowest_variant, describe_targets, histogram, impute_standardise, loocv_ols, loocv_predictions, model_comparison, perm_importance, forward_select, perm_test, bootstrap_ci,
+    networks_without_report, networks_in_both, ids_in_any, first_of_keys, padded_attributes, sequence_features, sequence_classes, log10_targets, merged_features, numeric_columns, class_descriptives, kruskal, mann_whitney, class_pair_tests, pearson_tests, ols_univariate,
+    corr_matrix, corr_topk, variant_class_pivot, best_worst, slowest_variant, describe_targets, histogram, impute_standardise, loocv_ols, loocv_predictions, model_comparison, penalised_models, perm_importance, forward_select, perm_test, bootstrap_ci,
     forest_regression, kmeans_embeddings, node_split, mean_baseline,
 )}
 
@@ -478,3 +509,16 @@ SELECT g1, g2, n1, n2, u, ROUND(r, 6) AS rank_biserial, ROUND(z, 6) AS z, CASE W
 }
 SQL["corr_matrix"] = _T + ", c AS (SELECT * FROM t WHERE " + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in _CORR) + ") " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(CORR({a}, {b}), 5) AS r FROM c" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :])
 SQL["corr_topk"] = f"SELECT * FROM ({SQL['corr_matrix']}) ORDER BY ABS(r) DESC NULLS LAST, a, b LIMIT 3"
+
+
+def _two_sided_sql(z: str) -> str:
+    """The error function's approximation in SQL, on the expression z."""
+    x, t = f"(ABS({z}) / SQRT(2))", f"(1 / (1 + {stats.ERF_SCALE}::DOUBLE * ABS({z}) / SQRT(2)))"
+    return "(" + " + ".join(f"({c}::DOUBLE) * POW({t}, {i})" for i, c in enumerate(stats.ERF, 1)) + f") * EXP(-{x} * {x})"
+
+
+SQL["class_pair_tests"] = f"""WITH m AS ({SQL['mann_whitney']}), p AS (SELECT g1, g2, u, LEAST(1.0, {_two_sided_sql('z')}) AS p, COUNT(*) OVER () AS pairs FROM m),
+b AS (SELECT *, LEAST(1.0, p * pairs) AS pb FROM p) SELECT g1, g2, u, ROUND(p, 6) AS p, ROUND(pb, 6) AS p_bonferroni, (pb < 0.05)::INT AS significant_005, (pb < 0.01)::INT AS significant_001 FROM b"""
+_COMPLETE = "FROM t WHERE lt_ab IS NOT NULL AND " + " AND ".join(f"{x} IS NOT NULL" for x in _XS)
+_RS = " UNION ALL ".join(f"SELECT '{x}' AS feature, COUNT(*) AS n, CORR(lt_ab, {x}) AS r {_COMPLETE}" for x in _XS)
+SQL["pearson_tests"] = _T + f", rs AS ({_RS}) SELECT feature, n, ROUND(r, 5) AS r, ROUND({_two_sided_sql('(0.5 * LN((1 + r) / (1 - r)) * SQRT(n - 3))')}, 5) AS p FROM rs"

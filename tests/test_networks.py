@@ -104,6 +104,14 @@ def test_committor_and_spectrum(spark, model):
     assert modes["x", 1] == pytest.approx(ev[1], rel=1e-6)
     t = dense(rates, "two", 2)
     assert modes["two", 1] == pytest.approx(-(t[0, 1] + t[1, 0]))
+    f = {r["network_id"]: r for r in reduce.spectral_features(reduce.spectrum(micro, ab, 10), micro).collect()}
+    ten = -ev[1:11]
+    share = ten / ten.sum()
+    assert f["x"]["gap_ratio"] == pytest.approx(ten[0] / ten[1], rel=1e-6) and f["x"]["gap"] == f["x"]["fiedler"]
+    assert f["x"]["entropy"] == pytest.approx(-(share * np.log(share)).sum(), rel=1e-6)
+    mean_degree = (k > 0).sum() / len(k)
+    assert f["x"]["ramanujan_score"] == pytest.approx(ten[0] / (2 * np.sqrt(max(2, mean_degree) - 1)), rel=1e-6)
+    assert f["two"]["gap_ratio"] is None and f["two"]["effective_dimension"] == pytest.approx(1)
 
 
 def test_components_shapes(spark):
@@ -171,6 +179,53 @@ def test_leave_one_out_equals_refits(spark):
     assert all(sorted(v) == sorted(x[:, 0].tolist()) for v in ([r["s_a"] for r in one.filter(F.col("rep") == k).collect()] for k in range(3)))
 
 
+def test_penalised_models(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = 2 * x[:, 0] - 0.7 * x[:, 1] + 1.5 + rng.normal(size=300)
+    df = spark.createDataFrame([(f"k{i}", *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))], "id string, a double, b double, c double, y double").cache()
+    xs = ["a", "b", "c"]
+    g, b, _, _, n = stats.gram(df, xs, "y")
+    v = VectorAssembler(inputCols=xs, outputCol="features").transform(df)
+    X = np.c_[np.ones(300), x]
+    for alpha, l1 in ((0.1, 1.0), (0.5, 0.5), (0.3, 0.0), (0.0, 1.0)):  # the conditions of a minimum
+        w = stats.descend(g, b, n, alpha, l1)
+        slope = X.T @ (X @ w - y) / n + np.r_[0, alpha * (1 - l1) * w[1:]]
+        bound = np.r_[0, np.full(3, alpha * l1)]
+        assert np.all(np.where(w != 0, np.abs(slope + bound * np.sign(w)), np.maximum(0, np.abs(slope) - bound)) < 1e-9)
+    for alpha, l1 in ((0.1, 1.0), (0.0, 1.0)):  # the library scales the squared penalty by the target's deviation, so only these are the same model
+        m = LinearRegression(labelCol="y", regParam=alpha, elasticNetParam=l1, standardization=False, tol=1e-12, maxIter=500).fit(v)
+        assert stats.descend(g, b, n, alpha, l1) == pytest.approx([m.intercept, *m.coefficients], abs=1e-5)
+    grid = [0.01, 0.1, 1.0]
+    fold = {r["id"]: r["f"] for r in df.selectExpr("id", "pmod(xxhash64(id), 5) f").collect()}
+    f = np.array([fold[f"k{i}"] for i in range(300)])
+
+    def left(alpha, out, test):
+        w = stats.descend(X[~out].T @ X[~out], X[~out].T @ y[~out], int((~out).sum()), alpha, 1.0)
+        return ((y[test] - X[test] @ w) ** 2).sum()
+
+    def pick(out):
+        return min(grid, key=lambda a: (sum(left(a, out | (f == k), ~out & (f == k)) for k in range(5)), -a))
+
+    want = sum(left(pick(f == k), f == k, f == k) for k in range(5))
+    got = {r[0]: r for r in stats.penalised(df, xs, "y", "id", {"one": ([0.1], [1.0]), "cv": (grid, [1.0]), "none": ([100.0], [1.0])})}
+    assert got["one"][4] == pytest.approx(np.sqrt(sum(left(0.1, f == k, f == k) for k in range(5)) / 300))
+    assert got["cv"][3] == pytest.approx(1 - want / ((y - y.mean()) ** 2).sum())
+    assert got["cv"][1] == pick(np.zeros(300, bool)) and got["none"][6] == 0
+    assert stats.penalised(df.limit(0), xs, "y", "id", {"one": ([0.1], [1.0])})[0][3:6] == (None, None, 0)
+
+
+def test_two_sided_p(spark):
+    from math import erfc
+
+    zs = [0.0, -0.5, 1.0, 1.96, -3.0, 8.0]
+    got = [r["p"] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(stats.two_sided(F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([erfc(abs(z) / 2**0.5) for z in zs], abs=2e-7)
+
+
 def test_text_round_trip_and_discovery(spark, tmp_path):
     d = tmp_path / "abc_nocap" / "abc_19sb_nocap"
     d.mkdir(parents=True)
