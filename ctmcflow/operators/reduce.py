@@ -182,34 +182,118 @@ def _with_side(edges: DataFrame, ab: DataFrame) -> DataFrame:
     return edges.join(ab.select(NET, F.col("min_id").alias("src"), "side"), [NET, "src"], "left").select(NET, "src", "dst", "p", "a", "side")
 
 
-def committor_mfpt(edges: DataFrame, ab: DataFrame, dense: int = 4 * DENSE) -> DataFrame:
-    """On a reduced network: q (probability to reach B before A) and m (mean time to B) of every kept state."""
+def _committor(names, p, tau, sides):
+    n = len(names)
+    a, b = sides["A"], sides["B"]
+    q = b.astype(float)
+    free = ~(a | b)
+    if free.any():
+        q[free] = np.linalg.solve(np.eye(free.sum()) - p[np.ix_(free, free)], p[np.ix_(free, b)].sum(1))
+    m = np.zeros(n)
+    if (~b).any() and b.any():
+        m[~b] = np.linalg.solve(np.eye((~b).sum()) - p[np.ix_(~b, ~b)], tau[~b])
+    return {"node": names, "committor": np.clip(q, 0, 1), "mfpt_to_b": np.maximum(m, 0)}
 
-    def fn(names, p, tau, sides):
-        n = len(names)
-        a, b = sides["A"], sides["B"]
-        q = b.astype(float)
-        free = ~(a | b)
-        if free.any():
-            q[free] = np.linalg.solve(np.eye(free.sum()) - p[np.ix_(free, free)], p[np.ix_(free, b)].sum(1))
-        m = np.zeros(n)
-        if (~b).any() and b.any():
-            m[~b] = np.linalg.solve(np.eye((~b).sum()) - p[np.ix_(~b, ~b)], tau[~b])
-        return {"node": names, "committor": np.clip(q, 0, 1), "mfpt_to_b": np.maximum(m, 0)}
 
-    return _with_side(edges, ab).groupBy(NET).applyInPandas(_local(fn, dense), "network_id string, node long, committor double, mfpt_to_b double")
+def committor_mfpt(edges: DataFrame, ab: DataFrame, dense: int = 4 * DENSE) -> DataFrame:
+    """On networks of at most ``dense`` states: q (probability to reach B before A) and m (mean time to B) of every state."""
+    return _with_side(edges, ab).groupBy(NET).applyInPandas(_local(_committor, dense), "network_id string, node long, committor double, mfpt_to_b double")
 
 
-def spectrum(edges: DataFrame, ab: DataFrame, k: int = 5, dense: int = 4 * DENSE) -> DataFrame:
-    """The k slowest modes of a reduced network: eigenvalues of (P - 1)/tau below zero, nearest first, and times -1/lambda."""
+def committor_all(scratch: Scratch, edges: DataFrame, ab: DataFrame, dense: int = 4 * DENSE) -> DataFrame:
+    """committor_mfpt of every state of connected networks of any size.
 
-    def fn(names, p, tau, sides):
-        q = (p - np.eye(len(names))) / tau[:, None]
-        ev = np.sort(np.linalg.eigvals(q).real)[::-1]  # real, since the chain is reversible
-        ev = ev[ev < -1e-12][:k]
-        return {"mode": np.arange(1, len(ev) + 1), "lambda": ev, "t": -1 / ev}
+    Larger networks lose states in rounds, as in ``transform``, until ``dense`` are left. The branches that a state
+    had when it went give its values from those of its targets, last round first.
+    """
+    keep = scratch.put(ab.select(NET, F.col("min_id").alias("node")), "ca_keep")
+    gone = []
+    while True:
+        big = edges.groupBy(NET).agg(F.count_distinct("src").alias("n")).filter(F.col("n") > dense).select(NET)
+        if big.limit(1).count() == 0:
+            break
+        large, small = edges.join(big, NET, "left_semi"), edges.join(big, NET, "left_anti")
+        less = remove_round(scratch, large, keep)
+        gone.append(scratch.put(large.join(less.select(NET, "src").distinct(), [NET, "src"], "left_anti"), "ca_gone"))
+        edges = scratch.put(less.unionByName(small), "ca_edges", keep=2)
+    values = scratch.put(committor_mfpt(edges, ab, dense), "ca_values")
+    for out in reversed(gone):
+        way = out.filter("src <> dst").join(values.withColumnRenamed("node", "dst"), [NET, "dst"]).groupBy(NET, "src").agg(F.sum("p").alias("d"), F.sum(F.col("p") * F.col("committor")).alias("q"), F.sum(F.col("p") * F.col("mfpt_to_b")).alias("m"))
+        time = out.groupBy(NET, "src").agg(F.sum("a").alias("t"))
+        new = way.join(time, [NET, "src"]).select(NET, F.col("src").alias("node"), (F.col("q") / F.col("d")).alias("committor"), ((F.col("m") + F.col("t")) / F.col("d")).alias("mfpt_to_b"))
+        values = scratch.put(values.unionByName(new), "ca_values", keep=2)
+    return values
+
+
+def slow_modes(n: int, s: np.ndarray, d: np.ndarray, w: np.ndarray, escape: np.ndarray, k: int, most: int = 20_000) -> np.ndarray:
+    """The k + 1 least eigenvalues of diag(escape) - W, W symmetric with entries w at (s, d), without a dense matrix.
+
+    Blocks of the current vectors, their residuals over the diagonal and the last steps (LOBPCG), until every residual
+    is below 1e-6 of its eigenvalue, so that eigenvalues are exact to about 1e-12 of it.
+    """
+    order = np.lexsort((d, s))
+    s, d, w = s[order], d[order], w[order]
+    first, rows = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), np.unique(s)
+
+    def times(x):
+        out = escape[:, None] * x
+        for c in range(x.shape[1]):
+            out[rows, c] -= np.add.reduceat(w * x[d, c], first)
+        return out
+
+    want = k + 1
+    m = min(want + 5, n)
+    x = np.random.default_rng(0).normal(size=(n, m)) / np.sqrt(n) * 0.1
+    x[np.argsort(escape)[:m], np.arange(m)] += 1.0  # slow modes sit on states that are slow to leave
+    x, step = np.linalg.qr(x)[0], np.zeros((n, 0))
+    floor = 1e-13 * escape.max()
+    for _ in range(most):
+        ax = times(x)
+        value, turn = np.linalg.eigh(x.T @ ax)
+        x, ax = x @ turn, ax @ turn
+        rest = ax - x * value
+        if np.all(np.linalg.norm(rest, axis=0)[:want] <= np.maximum(1e-6 * np.abs(value[:want]), floor)):
+            return value[:want]
+        new = rest / escape[:, None]
+        basis = np.c_[x, new / np.maximum(np.linalg.norm(new, axis=0), 1e-300), step]
+        basis = np.linalg.qr(basis)[0]
+        _, y = np.linalg.eigh(basis.T @ times(basis))
+        last = basis @ y[:, :m]
+        step = last - x @ (x.T @ last)
+        step = step / np.maximum(np.linalg.norm(step, axis=0), 1e-300)
+        x = np.linalg.qr(last)[0]
+    raise ValueError(f"slow modes of {n} states have not converged in {most} steps")
+
+
+def spectrum(edges: DataFrame, ab: DataFrame | None = None, k: int = 10, dense: int = 4 * DENSE) -> DataFrame:
+    """The k slowest modes of each network: eigenvalues of (P - 1)/tau below zero, nearest first, and times -1/lambda.
+
+    The chains are reversible, so the geometric mean of both directions' rates has the same eigenvalues and is
+    symmetric. Up to ``dense`` states take one matrix, more of them the edges only. ab has no part in it.
+    """
 
-    return _with_side(edges, ab).groupBy(NET).applyInPandas(_local(fn, dense), "network_id string, mode int, lambda double, t double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.r_[pdf["src"], pdf["dst"]])
+        n = len(names)
+        s, d, p = np.searchsorted(names, pdf["src"]), np.searchsorted(names, pdf["dst"]), pdf["p"].to_numpy()
+        tau = np.bincount(s, pdf["a"], n)
+        s, d, p = (x[s != d] for x in (s, d, p))
+        rate = p / tau[s]
+        escape = np.bincount(s, rate, n)
+        there, back = np.lexsort((d, s)), np.lexsort((s, d))  # the same pairs, one way and the other
+        if not (np.array_equal(s[there], d[back]) and np.array_equal(d[there], s[back])):
+            raise ValueError(f"{pdf[NET].iloc[0]}: an edge has no way back, the chain is not reversible")
+        s, d, w = s[there], d[there], np.sqrt(rate[there] * rate[back])
+        if n <= dense:
+            m = np.diag(escape)
+            m[s, d] -= w
+            ev = np.linalg.eigvalsh(m)
+        else:
+            ev = slow_modes(n, s, d, w, escape, k)
+        ev = -ev[ev > 1e-12][:k]
+        return pd.DataFrame({NET: pdf[NET].iloc[0], "mode": np.arange(1, len(ev) + 1), "lambda": ev, "t": -1 / ev})
+
+    return edges.select(NET, "src", "dst", "p", "a").groupBy(NET).applyInPandas(run, "network_id string, mode int, lambda double, t double")
 
 
 def spectral_features(modes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:

@@ -202,17 +202,21 @@ def gt_eliminate_one(spark, sf):
     return t.join(total, [NET, "node"], "left").select(NET, "node", F.round(F.ln("tau"), 6).alias("log_tau"), F.round(F.coalesce("b_out", F.lit(0.0)), 6).alias("b_out"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
-def _reduced(spark, sf, label, percent=5.0, min_kept=10):
+def _micro(k):
+    """Each network's largest component: (minima, jump moments, waiting times, ab)."""
+    m, r, ab = k.connected()
+    w = ctmc.waiting_times(r).select(NET, "node", "tau")
+    return m, k.scratch.put(reduce.jump_moments(ctmc.branching(r).select(NET, "src", "dst", "b"), w), "micro"), w, k.scratch.put(ab, "ab")
+
+
+def _reduced(spark, sf, label, percent=5.0, min_kept=50):
     """Each network's largest component, hybrid rule, reduced: (ktn, micro jump moments, reduced edges, ab)."""
     k = Ktn(spark, sf, label)
-    m, r, ab = k.connected()
+    m, micro, w, ab = _micro(k)
     must = ab.select(NET, F.col("min_id").alias("node"), F.lit(True).alias("m"))
-    w = ctmc.waiting_times(r).select(NET, "node", "tau")
     s = ctmc.equilibrium(m).join(w, [NET, "node"]).join(must, [NET, "node"], "left").select(NET, "node", "pi", "tau", F.coalesce("m", F.lit(False)).alias("must"))
-    # the few most probable states and A, B stay
-    kept = k.scratch.put(ctmc.keep_states(s, "free_energy", percent, min_kept).filter("kept").select(NET, "node"), "kept")
-    micro = k.scratch.put(reduce.jump_moments(ctmc.branching(r).select(NET, "src", "dst", "b"), w), "micro")
-    return k, micro, k.scratch.put(reduce.transform(k.scratch, micro, kept), "reduced"), k.scratch.put(ab, "ab")
+    kept = k.scratch.put(ctmc.keep_states(s, "hybrid", percent, min_kept).filter("kept").select(NET, "node"), "kept")
+    return k, micro, k.scratch.put(reduce.transform(k.scratch, micro, kept), "reduced"), ab
 
 
 def gt_reduce(spark, sf):
@@ -244,18 +248,22 @@ def ab_kinetics(spark, sf):
 
 
 def committor_mfpt(spark, sf):
-    _, _, e, ab = _reduced(spark, sf, "g5")
-    return reduce.committor_mfpt(e, ab)
+    """Committor and mean time to B of every state of each network's largest component."""
+    k = Ktn(spark, sf, "g5")
+    _, micro, _, ab = _micro(k)
+    return reduce.committor_all(k.scratch, micro, ab)
 
 
 def spectrum(spark, sf):
-    _, _, e, ab = _reduced(spark, sf, "g6")
-    return reduce.spectrum(e, ab)
+    """The ten slowest modes of each network's largest component, none of its states removed."""
+    _, micro, _, _ = _micro(Ktn(spark, sf, "g6"))
+    return reduce.spectrum(micro)
 
 
 def spectral_features(spark, sf):
-    k, _, e, ab = _reduced(spark, sf, "g8")
-    return reduce.spectral_features(k.scratch.put(reduce.spectrum(e, ab, 10), "modes"), e)
+    """Features of the reduced networks, as in the reference."""
+    k, _, e, _ = _reduced(spark, sf, "g8")
+    return reduce.spectral_features(k.scratch.put(reduce.spectrum(e), "modes"), e)
 
 
 def committor_sweeps(spark, sf):
