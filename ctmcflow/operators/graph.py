@@ -72,32 +72,51 @@ def basin_keep_set(scratch: Scratch, minima: DataFrame, barriers: DataFrame, ab:
     return reps.union(extra.crossJoin(F.broadcast(grid)).select(NET, "cut", "node")).distinct()
 
 
-def pagerank(scratch: Scratch, nodes: DataFrame, rates: DataFrame, steps: int = 10, alpha: float = 0.85) -> DataFrame:
-    """PageRank on column-normalised rates, renormalised after each step; nodes without out-edges send nothing."""
+def _settled(r: DataFrame, tol: float) -> bool:
+    """Whether the last step moved less than tol in every network: the sum of absolute changes, as the reference takes it."""
+    return r.groupBy(NET).agg(F.sum("change").alias("c")).filter(F.col("c") >= tol).limit(1).count() == 0
+
+
+def pagerank(scratch: Scratch, nodes: DataFrame, rates: DataFrame, steps: int = 10, alpha: float = 0.85, tol: float | None = None) -> DataFrame:
+    """PageRank on column-normalised rates, renormalised after each step; nodes without out-edges send nothing.
+
+    ``steps`` steps; with tol, at most so many, until the last one changed less than tol in every network.
+    """
     out = rates.groupBy(NET, "src").agg(F.sum("k").alias("t"))
     e = scratch.put(rates.join(out, [NET, "src"]).select(NET, "src", "dst", (F.col("k") / F.col("t")).alias("p")), "pr_edges")
     size = nodes.groupBy(NET).agg(F.count("*").alias("n"))
-    nodes = scratch.put(nodes.select(NET, "node").join(size, NET), "pr_nodes")
-    r = nodes.select(NET, "node", (1.0 / F.col("n")).alias("r"))
+    r = scratch.put(nodes.select(NET, "node").join(size, NET).select(NET, "node", "n", (1.0 / F.col("n")).alias("r")), "pr", keep=2)
     for _ in range(steps):
-        got = e.join(r.withColumnRenamed("node", "src"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("g"))
-        x = nodes.join(got, [NET, "node"], "left").select(NET, "node", ((1 - alpha) / F.col("n") + alpha * F.coalesce("g", F.lit(0.0))).alias("x"))
+        got = e.join(r.select(NET, F.col("node").alias("src"), "r"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("g"))
+        x = r.join(got, [NET, "node"], "left").select(NET, "node", "n", "r", ((1 - alpha) / F.col("n") + alpha * F.coalesce("g", F.lit(0.0))).alias("x"))
         total = x.groupBy(NET).agg(F.sum("x").alias("s"))
-        r = scratch.put(x.join(total, NET).select(NET, "node", (F.col("x") / F.col("s")).alias("r")), "pr", keep=2)
-    return r
+        new = F.col("x") / F.col("s")
+        r = scratch.put(x.join(total, NET).select(NET, "node", "n", new.alias("r"), F.abs(new - F.col("r")).alias("change")), "pr", keep=2)
+        if tol is not None and _settled(r, tol):
+            break
+    return r.select(NET, "node", "r")
+
 
+def eigenvector_centrality(scratch: Scratch, nodes: DataFrame, edges: DataFrame, steps: int = 10, tol: float | None = None) -> DataFrame:
+    """Power iteration on the symmetric adjacency plus the identity, scaled to sum 1 after each step.
 
-def eigenvector_centrality(scratch: Scratch, nodes: DataFrame, edges: DataFrame, steps: int = 10) -> DataFrame:
-    """Power iteration on the symmetric adjacency plus the identity, scaled to sum 1 after each step."""
+    ``steps`` steps; with tol, until the last one changed less than tol in every network, an error after ``steps`` of them.
+    """
     e = scratch.put(symmetrise(edges), "ev_edges")
     size = nodes.groupBy(NET).agg(F.count("*").alias("n"))
     r = nodes.select(NET, "node").join(size, NET).select(NET, "node", (1.0 / F.col("n")).alias("r"))
     for _ in range(steps):
-        got = e.join(r.withColumnRenamed("node", "src"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum("r").alias("g"))
-        x = r.join(got, [NET, "node"], "left").select(NET, "node", (F.col("r") + F.coalesce("g", F.lit(0.0))).alias("x"))
+        got = e.join(r.select(NET, F.col("node").alias("src"), "r"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum("r").alias("g"))
+        x = r.join(got, [NET, "node"], "left").select(NET, "node", "r", (F.col("r") + F.coalesce("g", F.lit(0.0))).alias("x"))
         total = x.groupBy(NET).agg(F.sum("x").alias("s"))
-        r = scratch.put(x.join(total, NET).select(NET, "node", (F.col("x") / F.col("s")).alias("r")), "ev", keep=2)
-    return r
+        new = F.col("x") / F.col("s")
+        r = scratch.put(x.join(total, NET).select(NET, "node", new.alias("r"), F.abs(new - F.col("r")).alias("change")), "ev", keep=2)
+        if tol is not None and _settled(r, tol):
+            break
+    else:
+        if tol is not None:
+            raise ValueError(f"eigenvector centrality has not settled to {tol} in {steps} steps")
+    return r.select(NET, "node", "r")
 
 
 def shortest(scratch: Scratch, edges: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:

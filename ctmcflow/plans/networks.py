@@ -289,6 +289,20 @@ def eigvec_centrality_10(spark, sf):
     return rnd(graph.eigenvector_centrality(k.scratch, k.nodes, k.rates, 10), "r", digits=8)
 
 
+def pagerank(spark, sf):
+    """PageRank to 1e-8 within 200 steps, as in the reference."""
+    k = Ktn(spark, sf, "p3")
+    return graph.pagerank(k.scratch, k.nodes, k.rates, 200, tol=1e-8)
+
+
+def eigvec_centrality(spark, sf):
+    """The dominant eigenvector of each network's largest component, to 1e-10; its other nodes have 0."""
+    k = Ktn(spark, sf, "p4")
+    m, r, _ = k.connected()
+    core = graph.eigenvector_centrality(k.scratch, m.select(NET, F.col("min_id").alias("node")), r, 5000, 1e-10)
+    return k.nodes.join(core, [NET, "node"], "left").fillna(0.0, ["r"])
+
+
 def _sources(k):
     return k.ab.select(NET, "side", F.col("min_id").alias("node"))
 
@@ -396,7 +410,7 @@ def feature_row(spark, sf):
 QUERIES = {f.__name__: f for f in (
     ktn_edge_barriers, ktn_barrier_min_pair, ktn_barrier_percentiles, ktn_barrier_histogram, ktn_low_barrier_degree, ktn_components, ktn_component_sizes, ktn_lcc, ktn_basin_keep_set, ktn_keep_sweep,
     ctmc_rates, ctmc_branching, ctmc_wait, ctmc_pi, ctmc_detailed_balance, ctmc_generator_sanity, ctmc_stationarity, ctmc_truncated, gt_eliminate_one, gt_reduce, gt_validate, ab_kinetics, committor_mfpt, spectrum, spectral_features,
-    committor_sweeps, pagerank_10, eigvec_centrality_10, hops_ab, closeness_ab, sssp_branch, sssp_rate, sssp_barrier, distance_features, path_features, topology_features, triangles, clustering_coeff, modularity, community_features, feature_row,
+    committor_sweeps, pagerank_10, eigvec_centrality_10, pagerank, eigvec_centrality, hops_ab, closeness_ab, sssp_branch, sssp_rate, sssp_barrier, distance_features, path_features, topology_features, triangles, clustering_coeff, modularity, community_features, feature_row,
 )} | {f"keep_{s}": _keep(s) for s in ctmc.KEEP_STYLES}
 
 _RULE = {"free_energy": "s.fe > c.fe_cut", "escape_time": "s.tau < c.tau_cut", "combined": "s.fe > c.fe_cut OR s.tau < c.tau_cut", "hybrid": "s.fe > c.fe_cut AND s.tau < c.tau_cut"}
