@@ -194,10 +194,18 @@ def forward_selection(df: DataFrame, xs: list[str], y: str, most: int = 4, drop:
     return history
 
 
-def shuffled(indexed: DataFrame, n: int, times: int, column: str, seed: int = 42) -> DataFrame:
+BLOCK = 250  # replicates in one job: their copies of the rows are never there all at once
+
+
+def blocks(times: int) -> list[tuple[int, int]]:
+    return [(i, min(times, i + BLOCK)) for i in range(0, times, BLOCK)]
+
+
+def shuffled(indexed: DataFrame, n: int, times: int, column: str, seed: int = 42, part: tuple[int, int] | None = None) -> DataFrame:
     """Every row ``times`` times with rep and s_<column>: the column of another row, by an affine map of the dense index rn.
 
-    The maps rn -> (a rn + b) mod n with a prime to n are permutations, so each replicate is one equi-join.
+    The maps rn -> (a rn + b) mod n with a prime to n are permutations, so each replicate is one equi-join. With part,
+    only the replicates from part[0] up to part[1] come out.
     """
     rng = np.random.default_rng(seed)
     maps = []
@@ -205,7 +213,7 @@ def shuffled(indexed: DataFrame, n: int, times: int, column: str, seed: int = 42
         a = int(rng.integers(1, max(2, n)))
         if math.gcd(a, n) == 1:
             maps.append((len(maps), a, int(rng.integers(0, max(1, n)))))
-    m = indexed.sparkSession.createDataFrame(maps, "rep int, _a long, _b long")
+    m = indexed.sparkSession.createDataFrame(maps[slice(*part)] if part else maps, "rep int, _a long, _b long")
     other = indexed.select((F.col("rn") - 1).alias("_to"), F.col(column).alias(f"s_{column}"))
     j = indexed.crossJoin(F.broadcast(m)).withColumn("_to", (F.col("_a") * (F.col("rn") - 1) + F.col("_b")) % F.lit(max(1, n)))  # ``times`` replicates
     return j.join(other, "_to").drop("_to", "_a", "_b")
@@ -216,33 +224,36 @@ def r2_of(g: np.ndarray, b: np.ndarray, yy: float, n: int) -> float:
     return float(1 - (yy - b @ np.linalg.pinv(g) @ b) / ss) if ss > 0 else float("nan")
 
 
-def permutation_test(indexed: DataFrame, xs: list[str], y: str, times: int = 100) -> dict:
+def permutation_test(indexed: DataFrame, xs: list[str], y: str, times: int = 1000) -> dict:
     """R^2 of the linear model against ``times`` permutations of y: observed, p = (#null >= observed + 1) / (times + 1)."""
     g, b, yy, _, n = gram(indexed, xs, y)
     if not n:
         return {"observed": None, "p": None, "n": 0, "times": 0}
     cols = [F.lit(1.0), *map(F.col, xs)]
-    rows = shuffled(indexed, n, times, y).groupBy("rep").agg(*[F.sum(c * F.col(f"s_{y}")).alias(f"b{i}") for i, c in enumerate(cols)]).collect()
+    sums = [F.sum(c * F.col(f"s_{y}")).alias(f"b{i}") for i, c in enumerate(cols)]
+    rows = [r for part in blocks(times) for r in shuffled(indexed, n, times, y, part=part).groupBy("rep").agg(*sums).collect()]
     seen = r2_of(g, b, yy, n)
     null = [r2_of(g, np.array([r[f"b{i}"] for i in range(len(cols))]), yy, n) for r in rows]
     return {"observed": seen, "p": (sum(x >= seen for x in null) + 1) / (len(null) + 1), "n": n, "times": len(null)}
 
 
-def bootstrap(df: DataFrame, xs: list[str], y: str, key: str, times: int = 200) -> DataFrame:
+def bootstrap(df: DataFrame, xs: list[str], y: str, key: str, times: int = 2000) -> DataFrame:
     """Percentile interval of R^2: rows weigh Poisson(1) times in each replicate, by a hash of key and replicate."""
-    reps = df.sparkSession.range(times).withColumnRenamed("id", "rep")
     u = F.pmod(F.xxhash64(key, "rep"), F.lit(1 << 30)) / float(1 << 30)
     cum, acc, weight = 0.0, math.exp(-1), F.lit(0)
     for k in range(8):
         cum += acc
         weight = weight + (u >= cum).cast("int")
         acc /= k + 1
-    j = df.crossJoin(F.broadcast(reps)).withColumn("_w", weight.cast("double"))  # ``times`` replicates
     cols = [F.lit(1.0), *map(F.col, xs)]
     aggs = [F.sum(F.col("_w") * cols[i] * cols[k]).alias(f"g{i}_{k}") for i in range(len(cols)) for k in range(i, len(cols))]
     aggs += [F.sum(F.col("_w") * c * F.col(y)).alias(f"b{i}") for i, c in enumerate(cols)] + [F.sum(F.col("_w") * F.col(y) * F.col(y)).alias("yy"), F.sum("_w").alias("n")]
+    rows = []
+    for low, high in blocks(times):
+        reps = df.sparkSession.range(low, high).withColumnRenamed("id", "rep")
+        rows += df.crossJoin(F.broadcast(reps)).withColumn("_w", weight.cast("double")).groupBy("rep").agg(*aggs).collect()
     out = []
-    for r in j.groupBy("rep").agg(*aggs).collect():
+    for r in rows:
         d = len(cols)
         g = np.array([[r[f"g{min(i, k)}_{max(i, k)}"] for k in range(d)] for i in range(d)])
         out.append(r2_of(g, np.array([r[f"b{i}"] for i in range(d)]), r["yy"], r["n"]))

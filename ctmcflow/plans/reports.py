@@ -366,7 +366,7 @@ def perm_importance(spark, sf):
     base = stats.r2_of(g, b, yy, n)
     out = None
     for j, x in enumerate(_XS):
-        sh = stats.shuffled(i, n, 20, x, seed=7 + j)
+        sh = stats.shuffled(i, n, 50, x, seed=7 + j)
         pred = F.lit(float(beta[0])) + sum((F.lit(float(beta[1 + k])) * F.col(f"s_{c}" if c == x else c) for k, c in enumerate(_XS)), F.lit(0.0))
         r = sh.withColumn("p", pred).groupBy("rep").agg(stats.metrics("lt_ab", "p")[0]).agg(F.avg(F.lit(base) - F.col("r2")).alias("drop_mean"), F.stddev_pop("r2").alias("drop_std")).withColumn("feature", F.lit(x))
         out = r if out is None else out.unionByName(r)
