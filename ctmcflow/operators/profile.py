@@ -24,6 +24,7 @@ CHUNK_ROWS = 100_000
 CELLS = 2_000_000  # loads x columns walked at once; more columns are done in further blocks
 VALUES = "col short, lng long, num double, txt string, load int, cnt long"
 QUANTILES = (0.25, 0.5, 0.75)
+COMMON = 0.02  # share of all rows from which a value counts as common to the loads
 
 
 def _kind(t: T.DataType) -> str:
@@ -147,7 +148,7 @@ def _text(v, words) -> str:
     return words[int(v)].as_py() if words is not None else repr(v.item())
 
 
-SUMMARY = "part int, col int, load int, n long, values long, low string, high string, dmax double, dmin double, tv double, news double"
+SUMMARY = "part int, col int, load int, n long, values long, low string, high string, dmax double, dmin double, tv double, news double, gain double, loss double"
 
 
 def _walk(kinds: list[str], first: int, sizes: np.ndarray):
@@ -157,7 +158,7 @@ def _walk(kinds: list[str], first: int, sizes: np.ndarray):
     """
     n_loads = sizes.shape[1]
     total = sizes.sum(1)
-    names = ["part", "col", "load", "n", "values", "low", "high", "dmax", "dmin", "tv", "news"]
+    names = ["part", "col", "load", "n", "values", "low", "high", "dmax", "dmin", "tv", "news", "gain", "loss"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,10 +166,10 @@ def _walk(kinds: list[str], first: int, sizes: np.ndarray):
         part, now, st = TaskContext.get().partitionId(), None, None
 
         def close():
-            use = np.flatnonzero(st["n"])
-            rows = [(part, now, int(l), int(st["n"][l]), int(st["values"][l]), st["low"][l], st["high"][l], float(st["dmax"][l]), float(st["dmin"][l]), float(st["tv"][l]), float(st["news"][l])) for l in use]
-            rows.append((part, now, -1, int(st["n"].sum()), st["all"], st["first"], st["last"], 0.0, 0.0, 0.0, 0.0))
-            kinds_ = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
+            use = np.flatnonzero((st["n"] > 0) | (st["loss"] > 0))  # a common value may be missing in a load
+            rows = [(part, now, int(l), int(st["n"][l]), int(st["values"][l]), st["low"][l], st["high"][l], float(st["dmax"][l]), float(st["dmin"][l]), float(st["tv"][l]), float(st["news"][l]), float(st["gain"][l]), float(st["loss"][l])) for l in use]
+            rows.append((part, now, -1, int(st["n"].sum()), st["all"], st["first"], st["last"], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
+            kinds_ = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds_)], names=names)
 
         for c, (v, words), num, load, cnt in _segments(batches, kinds, first):
@@ -176,7 +177,7 @@ def _walk(kinds: list[str], first: int, sizes: np.ndarray):
                 if now is not None:
                     yield close()
                 now = c
-                st = {"n": np.zeros(n_loads, "int64"), "values": np.zeros(n_loads, "int64"), "low": np.full(n_loads, None, object), "high": np.full(n_loads, None, object), "dmax": np.zeros(n_loads), "dmin": np.zeros(n_loads), "tv": np.zeros(n_loads), "news": np.zeros(n_loads), "all": 0, "first": _text(v[0], words), "last": None, "seen": 0}
+                st = {"n": np.zeros(n_loads, "int64"), "values": np.zeros(n_loads, "int64"), "low": np.full(n_loads, None, object), "high": np.full(n_loads, None, object), "dmax": np.zeros(n_loads), "dmin": np.zeros(n_loads), "tv": np.zeros(n_loads), "news": np.zeros(n_loads), "gain": np.zeros(n_loads), "loss": np.zeros(n_loads), "all": 0, "first": _text(v[0], words), "last": None, "seen": 0}
             own_n = np.maximum(sizes[c - first], 1)
             rest_n = np.maximum(total[c - first] - sizes[c - first], 1)
             tot = np.zeros(num[-1] + 1, "int64")
@@ -200,6 +201,13 @@ def _walk(kinds: list[str], first: int, sizes: np.ndarray):
             share, others = k / own_n[l], (tot[num][o] - k) / rest_n[l]
             st["tv"][ls] += np.add.reduceat(np.maximum(0, share - others), starts)
             st["news"][ls] += np.add.reduceat(np.where(others == 0, share, 0), starts)
+            for x in np.flatnonzero(tot >= COMMON * total[c - first]):  # 1 / COMMON values at most
+                held = num == x
+                part_of = np.zeros(n_loads)
+                part_of[load[held]] = cnt[held] / own_n[load[held]]
+                off = np.where(sizes[c - first] > 0, part_of - np.median(part_of[sizes[c - first] > 0]), 0)
+                st["gain"] += np.maximum(0, off)
+                st["loss"] += np.maximum(0, -off)
             st["n"][ls] += np.add.reduceat(k, starts)
             st["values"][ls] += length
             ends = starts + length - 1
@@ -257,7 +265,8 @@ def profile(df: DataFrame, columns: list[str], load: str = "load_id", patterns:
     min_value, max_value (as text), violations (values for which the column's SQL condition in
     ``patterns`` is not true), violation_rate, q25, q50, q75 (numeric columns, linear
     interpolation), ks (distance to all other loads; 0 for a load without values), tv (half the
-    sum of absolute differences of value shares) and new_share (share of values no other load has).
+    sum of absolute differences of value shares) new_share (share of values no other load has) and common_shift (share
+    gained or lost against the median of the loads, whichever is larger, by the values that hold at least COMMON of all rows).
 
     Rows whose load is null are profiled under load -1. An empty table gives no rows. A column of
     nulls has null rates of 1 and null ranges. Arrays and structs are profiled as their JSON text.
@@ -305,7 +314,7 @@ def profile(df: DataFrame, columns: list[str], load: str = "load_id", patterns:
                 picks[r["col"], r["load"], r["q"], r["upper"]] = r["value"]
             runs.unpersist()
         rows += _assemble(columns, counts, loads, sizes, first, summary, picks, patterns)
-    schema = "load long, column_name string, n_rows long, n_null long, null_rate double, n_values long, n_distinct long, min_value string, max_value string, violations long, violation_rate double, q25 double, q50 double, q75 double, ks double, tv double, new_share double"
+    schema = "load long, column_name string, n_rows long, n_null long, null_rate double, n_values long, n_distinct long, min_value string, max_value string, violations long, violation_rate double, q25 double, q50 double, q75 double, ks double, tv double, new_share double, common_shift double"
     return spark.createDataFrame(rows, schema)
 
 
@@ -322,7 +331,7 @@ def _assemble(columns, counts, loads, sizes, first, summary, picks, patterns) ->
         rest = n.sum() - n
         own = np.zeros(len(loads), "int64")
         seen = 0
-        ks, tv, news = (np.zeros(len(loads)) for _ in range(3))
+        ks, tv, news, gain, loss = (np.zeros(len(loads)) for _ in range(5))
         distinct = np.zeros(len(loads), "int64")
         low, high = [None] * len(loads), [None] * len(loads)
         all_distinct, all_low, all_high = 0, None, None
@@ -339,9 +348,11 @@ def _assemble(columns, counts, loads, sizes, first, summary, picks, patterns) ->
                 ks[l] = max(ks[l], abs(shift), abs(r["dmax"] + shift), abs(r["dmin"] + shift))
                 tv[l] += r["tv"]
                 news[l] += r["news"]
+                gain[l] += r["gain"]
+                loss[l] += r["loss"]
                 distinct[l] += r["values"]
                 low[l] = r["low"] if low[l] is None else low[l]
-                high[l] = r["high"]
+                high[l] = r["high"] if r["n"] else high[l]
             for r in parts[p]:
                 if r["load"] >= 0:
                     own[r["load"]] += r["n"]
@@ -349,6 +360,7 @@ def _assemble(columns, counts, loads, sizes, first, summary, picks, patterns) ->
             all_distinct += whole["values"]
             all_low = whole["low"] if all_low is None else all_low
             all_high = whole["high"]
+        shares = np.maximum(gain, loss)
         name = columns[c]
         bad = [r[f"b{c}"] if name in patterns else 0 for r in counts]
 
@@ -361,9 +373,9 @@ def _assemble(columns, counts, loads, sizes, first, summary, picks, patterns) ->
 
         for l, r in enumerate(counts):
             nulls = int(r["_rows"] - n[l])
-            out.append((int(loads[l]), name, int(r["_rows"]), nulls, nulls / r["_rows"], int(n[l]), int(distinct[l]), low[l], high[l], int(bad[l]), bad[l] / max(1, int(n[l])), *(None if (x := q(l, k)) is None else float(x) for k in QUANTILES), float(ks[l]) if rest[l] and n[l] else 0.0, float(tv[l]) if rest[l] else 0.0, float(news[l]) if rest[l] else 0.0))
+            out.append((int(loads[l]), name, int(r["_rows"]), nulls, nulls / r["_rows"], int(n[l]), int(distinct[l]), low[l], high[l], int(bad[l]), bad[l] / max(1, int(n[l])), *(None if (x := q(l, k)) is None else float(x) for k in QUANTILES), float(ks[l]) if rest[l] and n[l] else 0.0, float(tv[l]) if rest[l] else 0.0, float(news[l]) if rest[l] else 0.0, float(shares[l]) if rest[l] and n[l] else 0.0))
         rows = sum(r["_rows"] for r in counts)
-        out.append((None, name, rows, int(rows - n.sum()), float((rows - n.sum()) / rows), int(n.sum()), all_distinct, all_low, all_high, int(sum(bad)), sum(bad) / max(1, int(n.sum())), None, None, None, None, None, None))
+        out.append((None, name, rows, int(rows - n.sum()), float((rows - n.sum()) / rows), int(n.sum()), all_distinct, all_low, all_high, int(sum(bad)), sum(bad) / max(1, int(n.sum())), None, None, None, None, None, None, None))
     return out
 
 
@@ -384,17 +396,19 @@ REPORT_PATTERNS = {
 WATCHED = ["qpi_rel", "na", "mfpt_ab", "status"]
 
 
-def changed_loads(prof: DataFrame, least: float = 0.1, sigmas: float = 5.0, few: int = 64) -> DataFrame:
+def changed_loads(prof: DataFrame, least: float = 0.1, sigmas: float = 5.0) -> DataFrame:
     """Loads whose column differs as a whole from the bulk of the others: (load_id, column_name, reason).
 
     Null and violation rates are held against the median over the loads, the curve (ks) against all
-    other rows, value shares (tv) likewise where a column has few values, both less their median. A difference counts from
-    ``least`` on and beyond what a load of that size shows by chance; isolated values stay below both.
+    other rows, the shares of common values (common_shift) against the median load, both less their median. A difference counts from
+    ``least`` on and beyond what a load of that size shows by chance; isolated values stay below both. The ratio of
+    distinct values counts from 0.25 on where the load's size cannot be the reason: ratios only fall and
+    distinct values only rise with size.
     """
     rows = prof.filter("load IS NOT NULL")
-    mid = rows.groupBy("column_name").agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in ("null_rate", "violation_rate", "ks", "tv")])
-    over = prof.filter("load IS NULL").select("column_name", F.col("n_distinct").alias("all_distinct"))
-    j = rows.join(F.broadcast(mid), "column_name").join(F.broadcast(over), "column_name")
+    rows = rows.withColumn("ratio", F.col("n_distinct") / F.col("n_values"))  # null for a load without values
+    mid = rows.groupBy("column_name").agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in ("null_rate", "violation_rate", "ks", "common_shift", "ratio", "n_values", "n_distinct")])
+    j = rows.join(F.broadcast(mid), "column_name")
     n = F.greatest(F.col("n_rows"), F.lit(1))
 
     def rate(c: str):
@@ -406,6 +420,10 @@ def changed_loads(prof: DataFrame, least: float = 0.1, sigmas: float = 5.0, few:
     # the other loads hold the changed ones too, which lifts every load's distance alike: the median takes that off
     chance = F.greatest(F.lit(least), 1.3 / F.sqrt(values))
     curve = F.col("ks") - F.col("m_ks") > chance
-    shares = (F.col("all_distinct") <= few) & (F.col("tv") - F.col("m_tv") > chance)
-    why = F.filter(F.array(*[F.when(x, F.lit(w)) for x, w in ((rate("null_rate"), "null rate"), (rate("violation_rate"), "unusual form"), (curve, "distribution"), (shares, "values"))]), lambda x: x.isNotNull())
+    shares = F.col("common_shift") - F.col("m_common_shift") > chance
+    size, distinct = F.col("n_values") / F.col("m_n_values"), F.col("n_distinct") / F.col("m_n_distinct")
+    fewer = (F.col("ratio") < F.col("m_ratio") - 0.25) & ((size <= 1.5) | (distinct < 0.75))
+    more = (F.col("ratio") > F.col("m_ratio") + 0.25) & ((size >= 1 / 1.5) | (distinct > 1 / 0.75))
+    repeats = (values >= 30) & (fewer | more)
+    why = F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(w)) for x, w in ((rate("null_rate"), "null rate"), (rate("violation_rate"), "unusual form"), (curve, "distribution"), (shares, "values"), (repeats, "distinct values"))]), lambda x: x.isNotNull())
     return j.select(F.col("load").alias("load_id"), "column_name", F.concat_ws(", ", why).alias("reason")).filter("reason <> ''")
