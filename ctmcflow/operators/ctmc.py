@@ -122,20 +122,23 @@ def truncate(minima: DataFrame, n_max: int | None = None, e_max: float | None =
 KEEP_STYLES = ("free_energy", "escape_time", "combined", "hybrid")
 
 
+PRODUCT = "product"  # the reference's own combined rule; the query keep_combined is held to SQL of another one
+
+
 def keep_states(states: DataFrame, style: str = "hybrid", percent: float = 5.0, min_kept: int = 50) -> DataFrame:
     """Which states a coarse model keeps. states(network_id, node, pi, tau, must): must marks A and B.
 
     Thresholds are percentiles over the removable states of a network. free_energy drops states with
     -ln pi above its percentile, escape_time those with tau below its (100 - percent)-th, combined those
-    that either drops, hybrid those that both drop. Then the most probable dropped states come back until
+    that either drops, hybrid those that both drop, product those with tau * pi below its (100 - percent)-th. Then the most probable dropped states come back until
     min_kept states are kept. Result: states plus kept (boolean).
     """
     p = percent / 100.0
     s = states.withColumn("fe", -F.ln(F.greatest(F.col("pi"), F.lit(1e-300))))
-    cut = s.filter("NOT must").groupBy("network_id").agg(F.percentile("fe", p).alias("fe_cut"), F.percentile("tau", 1 - p).alias("tau_cut"))
+    cut = s.filter("NOT must").groupBy("network_id").agg(F.percentile("fe", p).alias("fe_cut"), F.percentile("tau", 1 - p).alias("tau_cut"), F.percentile(F.col("tau") * F.col("pi"), 1 - p).alias("both_cut"))
     s = s.join(cut, "network_id", "left")
     high, fast = F.col("fe") > F.col("fe_cut"), F.col("tau") < F.col("tau_cut")
-    rule = {"free_energy": high, "escape_time": fast, "combined": high | fast, "hybrid": high & fast}[style]
+    rule = {"free_energy": high, "escape_time": fast, "combined": high | fast, "hybrid": high & fast, PRODUCT: F.col("tau") * F.col("pi") < F.col("both_cut")}[style]
     s = s.withColumn("drop", F.coalesce(~F.col("must") & rule, F.lit(False)))
     kept = s.groupBy("network_id").agg(F.count_if(~F.col("drop")).alias("n_kept"))
     need = max(min_kept, 2)

@@ -184,10 +184,10 @@ def ctmc_truncated(spark, sf):
     return rnd(ctmc.truncate(ctmc.part_minima(spark, sf), n_max=20, e_max=40.0), "energy")
 
 
-def _keep(style):
+def _keep(style, min_kept=10):
     def run(spark, sf):
         k = Ktn(spark, sf, f"keep_{style}")
-        return ctmc.keep_states(k.states, style, 5.0, 10).select(NET, "node", F.col("kept").cast("int").alias("kept"))
+        return ctmc.keep_states(k.states, style, 5.0, min_kept).select(NET, "node", F.col("kept").cast("int").alias("kept"))
 
     return run
 
@@ -411,7 +411,7 @@ QUERIES = {f.__name__: f for f in (
     ktn_edge_barriers, ktn_barrier_min_pair, ktn_barrier_percentiles, ktn_barrier_histogram, ktn_low_barrier_degree, ktn_components, ktn_component_sizes, ktn_lcc, ktn_basin_keep_set, ktn_keep_sweep,
     ctmc_rates, ctmc_branching, ctmc_wait, ctmc_pi, ctmc_detailed_balance, ctmc_generator_sanity, ctmc_stationarity, ctmc_truncated, gt_eliminate_one, gt_reduce, gt_validate, ab_kinetics, committor_mfpt, spectrum, spectral_features,
     committor_sweeps, pagerank_10, eigvec_centrality_10, pagerank, eigvec_centrality, hops_ab, closeness_ab, sssp_branch, sssp_rate, sssp_barrier, distance_features, path_features, topology_features, triangles, clustering_coeff, modularity, community_features, feature_row,
-)} | {f"keep_{s}": _keep(s) for s in ctmc.KEEP_STYLES}
+)} | {f"keep_{s}": _keep(s) for s in ctmc.KEEP_STYLES} | {"keep_product": _keep(ctmc.PRODUCT, 50)}
 
 _RULE = {"free_energy": "s.fe > c.fe_cut", "escape_time": "s.tau < c.tau_cut", "combined": "s.fe > c.fe_cut OR s.tau < c.tau_cut", "hybrid": "s.fe > c.fe_cut AND s.tau < c.tau_cut"}
 
