@@ -32,10 +32,13 @@ def plain(c: Column) -> Column:
 
 
 def last_folder(c: Column) -> Column:
-    """Last folder of a path; back slashes, doubled and trailing separators and ``.`` parts make no difference."""
+    """Last folder of a path; back slashes, doubled and trailing separators and ``.`` parts make no difference.
+
+    A placeholder may itself hold a separator (``n/a``), so a value that is one as a whole names no folder: null.
+    """
     x = F.regexp_replace(F.trim(F.regexp_replace(c, "\\s+", " ")), "\\\\", "/")
     x = F.regexp_replace(x, "(/|/\\.(?=/|$)|\\s)+$", "")
-    return F.regexp_extract(x, "([^/]*)$", 1)
+    return F.when(plain(c).isNotNull(), F.regexp_extract(x, "([^/]*)$", 1))
 
 
 def report_keys(df: DataFrame) -> DataFrame:

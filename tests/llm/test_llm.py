@@ -59,6 +59,20 @@ def test_groups(spark):
     assert got == brute_groups(rows)
 
 
+def test_placeholders_with_separators_tie_nothing(spark):
+    """Folders stated by hand: whole values that are placeholders name none, also where they hold a separator."""
+    folders = {"n/a": None, " N/A ": None, "N\\A": None, "n / a": None, "N/A/": None, "/tmp/": None, "None": None, "/x/na/": None, "/x/a": "a", "C:\\x\\A\\": "a", "/x/a_nocap": "a", "/x/n/b": "b", "b": "b"}
+    rows = [(2 * i + k, 0, f"{'pq'[k]}{'abcdefghijklmnop'[i]}seq", None, p) for i, p in enumerate(folders) for k in range(2)]
+    got = {r["report_id"]: r["group_seq"] for r in splits.groups(Scratch(spark, "t"), report(spark, rows)).collect()}
+    names = {r[0]: r[2] for r in rows}
+    want = {}
+    for i, folder in enumerate(folders.values()):
+        for k in range(2):
+            same = [names[2 * j + m] for j, f in enumerate(folders.values()) for m in range(2) if folder and f == folder]
+            want[2 * i + k] = min(same) if same else names[2 * i + k]
+    assert got == want
+
+
 def test_long_chain_and_empty(spark):
     rows = [(i, 0, None, f"s{i}", f"/x/s{i // 2}d") for i in range(2)] + [(10 + i, 0, f"a{i}" if i == 0 else None, f"y{(i + 1) // 2}k", f"/x/f{i // 2}k") for i in range(60)]
     got = {r["report_id"]: r["group_seq"] for r in splits.groups(Scratch(spark, "t"), report(spark, rows)).collect()}
