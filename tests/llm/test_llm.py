@@ -198,29 +198,59 @@ def test_leaks_equal_brute_force(spark):
     got = {tuple(r) for r in leak.leaks(d, e).collect()}
     assert {x for x in got if x[0] != 502} == want and len(want) > 20
     assert {x[1] for x in got if x[0] == 502} >= {i for i in (0, 1) if len(items[i][1].split()) >= 12}
-    assert {tuple(r) for r in leak.leaks(d, e, block_chars=300).collect()} == got
+    assert {tuple(r) for r in leak.leaks(d, e, block_words=60).collect()} == got
     spans = leak.removal_spans(d, e).filter("doc_id = 503").collect()
     assert all(s["items"] >= 1 and s["end_char"] <= len(items[2][1]) for s in spans)
     assert leak.leaks(d.limit(0), e).count() == 0 and leak.leaks(d, e.limit(0)).count() == 0
 
 
-def test_pieces_of_a_long_text(spark, monkeypatch):
+def local_search(docs, items, overlap=20):
+    """The index and the search of one task, without Spark: (doc_id, eval_id, first_word, last_word)."""
+    import pyarrow as pa
+
+    class Block:
+        value = leak.Items([i for i, _ in items], [np.array([leak.word_hash(w) for w, _, _ in leak.words(t)], "uint64") for _, t in items])
+
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([0] * len(docs)), pa.array([t for _, t in docs])], names=["doc_id", "hash", "text"])
+    index = leak.index_batches(overlap)(iter([batch]))
+    return [(r["doc_id"], r["eval_id"], r["first_word"], r["last_word"]) for b in leak._search(Block, {})(index) for r in b.to_pylist()]
+
+
+def test_pieces_of_a_long_text(monkeypatch):
     monkeypatch.setattr(leak, "SHARD_WORDS", 50)
+    monkeypatch.setattr(leak, "LONG_CHARS", 100)
     item = " ".join(f"w{i}" for i in range(14))
     docs = [(i, "o " * i + item + " o" * 90) for i in range(0, 120, 7)]
-    found = leak._scan([1], [item], {})
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
-    rows = [r for b in found(iter([batch])) for r in b.to_pylist()]
     # a piece may also hold part of a stretch; the whole one is always there
-    assert {(r["doc_id"], r["first_word"], r["last_word"]) for r in rows} >= {(d, d, d + 13) for d, _ in docs}
+    assert set(local_search(docs, [(1, item)], 14)) >= {(d, 1, d, d + 13) for d, _ in docs}
+
+
+def test_short_repeated_documents_end_and_are_found():
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = ["w1 w2 w3 w4 w5", "q w0 w1 w2 w3", "w2 w3 w4 w5 w6", "w0 w1 w2 w3", "w0 w1 w2 w3"]
+    assert local_search(list(enumerate(docs)), [(1, item)]) == []
+    long = [(i, x) for i, x in enumerate(docs)] + [(9, " ".join(f"w{i}" for i in range(3, 17)))]
+    assert local_search(long, [(1, item)]) == [(9, 1, 0, 13)]
+
+
+def test_planted_inexact_runs_at_the_start_of_a_text():
+    rnd = random.Random(12)
+    items = [(e, " ".join(f"v{rnd.randint(0, 400)}" for _ in range(40))) for e in range(50)]
+    docs, want = [], set()
+    for d in range(2000):
+        e, text = rnd.choice(items)
+        v = text.split()[:20]
+        for i in rnd.sample(range(20), 3):
+            v[i] = "wrong"
+        docs.append((d, " ".join(v + [f"z{rnd.randint(0, 50)}" for _ in range(rnd.randint(0, 4))])))
+        want.add((d, e))
+    assert {r[:2] for r in local_search(docs, items)} >= want
 
 
 def test_fm_index_finds_all_places():
     rng = np.random.default_rng(3)
     text = np.r_[rng.integers(1, 5, 400), 0].astype("int64")
-    fm = leak.FMIndex(text)
+    fm = leak.FMIndex.of(text)
     pats = rng.integers(1, 5, (50, 3))
     low, high = fm.search(pats)
     for p, a, z in zip(pats, low, high):
@@ -228,6 +258,22 @@ def test_fm_index_finds_all_places():
         assert sorted(fm.locate(np.arange(a, z))) == want
 
 
+def test_fm_index_over_many_documents():
+    """Shards of short, repeated documents: every row is located where the sorted suffixes say."""
+    rng = np.random.default_rng(5)
+    for _ in range(1000):
+        kinds = rng.integers(1, 4)
+        some = [rng.integers(0, kinds + 1, rng.integers(0, 7)) for _ in range(3)]
+        docs = [some[i] for i in rng.integers(0, 3, rng.integers(1, 9))]
+        flat: list[int] = []
+        for i, d in enumerate(docs):
+            flat += [*d, 100 + i]
+        text = np.array(flat, "int64")
+        fm = leak.FMIndex.of(text)
+        order = sorted(range(len(flat)), key=lambda i: flat[i:])
+        assert fm.locate(np.arange(len(flat))).tolist() == order
+
+
 SENTENCES = {
     "en": ["the handle broke off although we treated it with great care", "this was clearly the quietest of them all and we like it", "the support team answered within two hours and was friendly"],
     "de": ["der griff ist abgebrochen obwohl wir sehr vorsichtig damit waren", "das war eindeutig das leiseste von allen und wir mögen es", "der kundendienst antwortete nach zwei stunden und war freundlich"],
