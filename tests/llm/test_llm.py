@@ -80,20 +80,53 @@ def test_long_chain_and_empty(spark):
     assert splits.groups(Scratch(spark, "t"), report(spark, [])).count() == 0
 
 
-def test_incremental_state_keeps_splits_and_quarantines(spark):
+def test_incremental_state_keeps_splits_and_quarantines(spark, tmp_path):
     rows = [(i, 0, f"seq{i}x", None, None) for i in range(400)]
     first = report(spark, rows)
     keys = ["k_seq", "k_sys", "k_dir"]
     s = Scratch(spark, "t")
-    one = splits.extend_state(s, splits.empty_state(spark), splits.report_keys(first), keys)
-    before = {r["key"]: r["split"] for r in one.collect()}
-    share = {x: sum(v == x for v in before.values()) / len(before) for x in splits.SPLITS}
-    assert abs(share["train"] - 0.8) < 0.08 and min(share.values()) > 0.03
-    a, b = (next(k[2:] for k, v in before.items() if v == x) for x in ("train", "test"))
-    more = [(900, 1, a, "bridge", None), (901, 1, b, "bridge", None), (902, 1, "brandnew", None, None)]
-    two = {r["key"]: r["split"] for r in splits.extend_state(s, one, splits.report_keys(report(spark, more)), keys).collect()}
-    assert two[f"0:{a}"] == two[f"0:{b}"] == two["1:bridge"] == "quarantine" and two["0:brandnew"] in splits.SPLITS
-    assert all(two[k] == v for k, v in before.items() if k not in (f"0:{a}", f"0:{b}"))
+    one = splits.ComponentTable(spark, f"file://{tmp_path}/c")
+    one.extend(s, splits.report_keys(first), keys)
+    before = {r["key"]: r["split"] for r in one.state().collect()}
+    share = {x: sum(v == x for v in before.values()) for x in splits.SPLITS}
+    assert all(abs(share[x] - 400 * p) <= 1 for x, p in splits.SPLITS.items()) and len(before) == 400
+    a, b, c, d = (next(k[2:] for k, v in before.items() if v == x and k[2:] not in used) for x, used in (("train", ()), ("test", ()), ("validation", ()), ("validation", (next(k[2:] for k, v in before.items() if v == "validation"),))))
+    more = [(900, 1, a, "bridge", None), (901, 1, b, "bridge", None), (902, 1, "brandnew", None, None), (903, 1, c, "same", None), (904, 1, d, "same", None)]
+    two = splits.ComponentTable(spark, f"file://{tmp_path}/c")  # as a later session reads it
+    assert two.batches == 1
+    two.extend(s, splits.report_keys(report(spark, more)), keys)
+    rows = {r["key"]: (r["root"], r["split"]) for r in two.state().collect()}
+    got = {k: v[1] for k, v in rows.items()}
+    assert got[f"0:{a}"] == got[f"0:{b}"] == got["1:bridge"] == "quarantine" and got["0:brandnew"] in splits.SPLITS
+    assert got[f"0:{c}"] == got[f"0:{d}"] == got["1:same"] == "validation" and rows[f"0:{c}"][0] == rows[f"0:{d}"][0] == min(f"0:{c}", f"0:{d}")
+    assert all(got[k] == v for k, v in before.items() if k not in (f"0:{a}", f"0:{b}"))
+    # a second merge moves what the first one hooked, and only that
+    two.extend(s, splits.report_keys(report(spark, [(910, 2, c, "bridge", None)])), keys)
+    last = {r["key"]: (r["root"], r["split"]) for r in two.state().collect()}
+    assert {last[f"0:{x}"] for x in (a, b, c, d)} == {(min(f"0:{x}" for x in (a, b, c, d)), "quarantine")} and len(last) == 403
+    assert two._read("roots", splits._ROOTS).filter("batch = 2").count() < 8
+
+
+def test_many_loads_equal_one(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, i % 5, rnd.choice([f"s{rnd.randint(0, 60)}", None]), rnd.choice([f"y{rnd.randint(0, 60)}", None]), None) for i in range(150)]
+    s, keys = Scratch(spark, "t"), ["k_seq", "k_sys", "k_dir"]
+    t = splits.ComponentTable(spark, f"file://{tmp_path}/m")
+    for load in range(5):
+        t.extend(s, splits.report_keys(report(spark, [r for r in rows if r[1] == load])), keys)
+    one = splits.ComponentTable(spark, f"file://{tmp_path}/o")
+    one.extend(s, splits.report_keys(report(spark, rows)), keys)
+    assert {(r["key"], r["root"]) for r in t.state().collect()} == {(r["key"], r["root"]) for r in one.state().collect()}
+
+
+def test_splits_parameter_holds_for_all_rows(spark, tmp_path):
+    rows = [(i, 0, f"q{i}z" if i % 2 else None, None, None) for i in range(2000)]
+    keys = ["k_seq", "k_sys", "k_dir"]
+    t = splits.ComponentTable(spark, f"file://{tmp_path}/p")
+    df, want = splits.report_keys(report(spark, rows)), {"train": 0.5, "test": 0.5}
+    t.extend(Scratch(spark, "t"), df, keys, want)
+    got = splits.with_state(df.drop("root", "key"), t.state(), keys, "report_id", want).groupBy("split").count().collect()
+    assert {r["split"] for r in got} == set(want) and all(abs(r["count"] - 1000) < 120 for r in got)
 
 
 def test_top_n(spark):
