@@ -158,6 +158,90 @@ def test_assignment_is_optimal():
         assert sum(c[i, a[i]] for i in range(n)) == pytest.approx(min(sum(c[i, p[i]] for i in range(n)) for p in permutations(range(n))))
 
 
+def random_tree(rnd, n, names):
+    fields, places = [], [()]
+    for i in range(n - 1):
+        above = rnd.choice(places)
+        s = (*above, f"{rnd.choice(names)}{i}")
+        fields.append((s, rnd.choice(["number", "string"]), 1.0))
+        places.append(s)
+    kinds = {s: "object" for s, _, _ in fields if any(o[:-1] == s for o, _, _ in fields)}
+    return drift.tree_of([(s, kinds.get(s, k), x) for s, k, x in fields])
+
+
+def brute_distance(a, b):
+    """The least cost of all constrained mappings: nodes keep their ancestors, and separate subtrees stay separate."""
+    x, y = [a, *drift.below(a)], [b, *drift.below(b)]
+    over = lambda p, q: p.steps == q.steps[: len(p.steps)]
+
+    def lca(p, q):
+        i = 0
+        while i < min(len(p.steps), len(q.steps)) and p.steps[i] == q.steps[i]:
+            i += 1
+        return p.steps[:i]
+
+    best = [float(len(x) + len(y))]
+
+    def fits(m, p, q):
+        if any(over(p, u) != over(q, v) or over(u, p) != over(v, q) for u, v in m):
+            return False
+        t = [*m, (p, q)]
+        for i, (u1, v1) in enumerate(t):
+            for u2, v2 in t[i + 1 :]:
+                for u3, v3 in t:
+                    l1, l2 = lca(u1, u2), lca(v1, v2)
+                    if (l1 == u3.steps[: len(l1)] and l1 != u3.steps) != (l2 == v3.steps[: len(l2)] and l2 != v3.steps):
+                        return False
+        return True
+
+    def go(i, m, free, cost):
+        best[0] = min(best[0], cost)
+        for k in range(i, len(x)):
+            for q in free:
+                if fits(m, x[k], q):
+                    go(k + 1, [*m, (x[k], q)], [z for z in free if z is not q], cost - 2 + drift._one(x[k], q))
+
+    go(0, [], y, best[0])
+    return best[0]
+
+
+def test_tree_distance_equals_brute_force():
+    rnd = random.Random(7)
+    for _ in range(60):
+        a, b = random_tree(rnd, rnd.randint(1, 5), ["MFPT_AB", "nA", "x", "solver"]), random_tree(rnd, rnd.randint(1, 5), ["mfpt_fwd", "n_A", "y", "solve"])
+        got = drift.distance(a, b)[0]
+        assert got == pytest.approx(brute_distance(a, b)), (a, b)
+        assert got == pytest.approx(drift.distance(b, a)[0])
+    t = random_tree(rnd, 12, ["a", "b", "c"])
+    assert drift.distance(t, t)[0] == 0
+
+
+def test_schema_text():
+    text = "OBJECT<``: BIGINT, arr: ARRAY<OBJECT<p: VARIANT, q: STRING>>, b: OBJECT<c: ARRAY<DECIMAL(21,1)>, `d e`: VOID, `x.y`: STRING>, `we``ird<>,: k`: BOOLEAN, w: OBJECT<unit: STRING, value: DOUBLE>, aa: ARRAY<ARRAY<OBJECT<z: BIGINT>>>>"
+    assert dict(drift.schema_fields(text)) == {
+        ("",): "number", ("arr",): "array", ("arr", "[]"): "object", ("arr", "[]", "p"): "number", ("arr", "[]", "q"): "string", ("b",): "object", ("b", "c"): "array", ("b", "d e"): "null", ("b", "x.y"): "string",
+        ("we`ird<>,: k",): "boolean", ("w",): "object", ("aa",): "array", ("aa", "[]"): "array", ("aa", "[]", "[]"): "object", ("aa", "[]", "[]", "z"): "number",
+    }
+    assert drift.schema_fields("OBJECT<>") == []
+
+
+def test_drift_at_depth(spark):
+    """Fields three levels down and inside arrays are found, renamed, moved as a whole, and read into the table."""
+    deep = {"network_id": "n", "run": {"kin": {"MFPT_AB": "1e-8", "mfpt_rev": {"value": 2e-8, "unit": "s"}}, "set": {"solver": "x", "tol": 1}}, "hist": [{"Var_AB": 3e-15, "step": 1}]}
+    moved = {"network_id": "n", "MFPT.AB": 1e-8, "job": {"opts": {"set": {"solver": "x", "tol": 1}}, "kin": {"MFPT_BA": 2e-8}}, "hist": [{"var_fwd": [4e-15], "stepp": 1}]}
+    df, scripts = drift_case(spark, [("a", 0, [deep] * 2), ("a", 1, [moved] * 2)])
+    ops = {(r["file_id"], r["path"]): (r["field"], r["operation"]) for r in scripts.collect()}
+    assert ops[1, "run.kin.MFPT_AB"] == ("MFPT_AB", "moved") and ops[1, "run.kin.mfpt_rev"] == ("MFPT_BA", "moved") and ops[1, "hist.[].Var_AB"] == ("Var_AB", "moved")
+    assert ops[2, "MFPT.AB"] == ("MFPT_AB", "renamed") and ops[2, "job.kin.MFPT_BA"] == ("MFPT_BA", "moved") and ops[2, "hist.[].var_fwd"] == ("Var_AB", "moved")
+    t = {r["file_id"]: r for r in drift.unified(df, scripts).collect()}
+    assert [t[1][c] for c in ("MFPT_AB", "MFPT_BA", "Var_AB")] == [1e-8, 2e-8, 3e-15] and [t[2][c] for c in ("MFPT_AB", "MFPT_BA", "Var_AB")] == [1e-8, 2e-8, 4e-15]
+    got = {tuple(r)[1:] for r in drift.changes(df, scripts).collect()}
+    assert {("MFPT_AB", "renamed"), ("MFPT_AB", "type_changed"), ("MFPT_BA", "renamed"), ("Var_AB", "renamed"), ("Var_AB", "type_changed"), ("job.opts.set.solver", "renamed"), ("job.opts.set", "renamed"), ("hist.[].stepp", "renamed")} <= got
+    assert not {f for f, c in got if c in ("added", "removed")} & {"MFPT_AB", "MFPT_BA", "Var_AB", "run.set.solver", "job.opts.set.solver", "hist.[].step", "hist.[].stepp"}
+    empty, s = drift_case(spark, [("a", 0, ["broken"]), ("a", 1, [None, "[1]"])])
+    assert s.count() == 0 and drift.unified(empty, s).count() == 3
+
+
 def test_tree_distance_prefers_same_quantity():
     assert drift.relabel("passage_time_AB", "MFPT_AB") < 2 < drift.relabel("passage_time_BA", "MFPT_AB")
-    assert math.isclose(drift.distance(("r", "object", 1.0, []), ("r", "object", 1.0, []))[0], 0.0)
+    assert math.isclose(drift.distance(drift.tree_of([]), drift.tree_of([]))[0], 0.0)
