@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -37,13 +38,14 @@ ELEMENT = "[]"
 
 
 class Node(NamedTuple):
-    """A field of a schema: its name, type, share of the records, members, and the steps from the record to it."""
+    """A field of a schema: its name, type, share of the records, members, the steps from the record to it, and its nodes."""
 
     name: str
     kind: str
     share: float
     kids: tuple
     steps: tuple
+    size: int
 
 
 @lru_cache(100_000)
@@ -103,8 +105,8 @@ def assign(cost: np.ndarray) -> list[int]:
     return out
 
 
-def size(t: Node) -> int:
-    return 1 + sum(map(size, t.kids))
+def node(name: str, kind: str, share: float, kids: tuple, steps: tuple) -> Node:
+    return Node(name, kind, share, kids, steps, 1 + sum(k.size for k in kids))
 
 
 def below(t: Node) -> Iterator[Node]:
@@ -123,7 +125,7 @@ def tree_of(fields: list[tuple[tuple, str, float]], name: str = "record") -> Nod
 
     def made(s: tuple) -> Node:
         kind, share = known.get(s, ("object" if s[-1:] != (ELEMENT,) else "array", 1.0))
-        return Node(s[-1] if s else name, kind if s else "object", share if s else 1.0, tuple(made(c) for c in sorted(kids.get(s, []))), s)
+        return node(s[-1] if s else name, kind if s else "object", share if s else 1.0, tuple(made(c) for c in sorted(kids.get(s, []))), s)
 
     return made(())
 
@@ -142,16 +144,21 @@ class Edit:
 
     def tree(self, a: Node, b: Node) -> tuple[float, list]:
         """(cost, matched pairs): roots matched, or one of them put in or left out above the other tree."""
+        if not a.kids and not b.kids:
+            return _one(a, b), [(a, b)]
         key = (a.steps, b.steps)
         if key not in self.trees:
             c, pairs = self.forest(a.kids, b.kids)
             best = (_one(a, b) + c, [(a, b), *pairs])
+            # trees of unlike size differ by as many nodes at least
             for x in a.kids:
-                c, pairs = self.tree(x, b)
-                best = min(best, (size(a) - size(x) + c, pairs), key=lambda m: m[0])
+                if a.size - x.size + abs(x.size - b.size) < best[0]:
+                    c, pairs = self.tree(x, b)
+                    best = min(best, (a.size - x.size + c, pairs), key=lambda m: m[0])
             for y in b.kids:
-                c, pairs = self.tree(a, y)
-                best = min(best, (size(b) - size(y) + c, pairs), key=lambda m: m[0])
+                if b.size - y.size + abs(y.size - a.size) < best[0]:
+                    c, pairs = self.tree(a, y)
+                    best = min(best, (b.size - y.size + c, pairs), key=lambda m: m[0])
             self.trees[key] = best
         return self.trees[key]
 
@@ -159,23 +166,24 @@ class Edit:
         """(cost, matched pairs) of two sets of siblings: an assignment, or all of one side below one node of the other."""
         key = (tuple(x.steps for x in f), tuple(x.steps for x in g))
         if key not in self.forests:
-            of, og = sum(map(size, f)), sum(map(size, g))
+            of, og = sum(x.size for x in f), sum(y.size for y in g)
             best = self.match(f, g) if f and g else (float(of + og), [])
             if f and g:
                 for x in f:
-                    if x.kids:
+                    if x.kids and of - x.size + 1 + abs(x.size - 1 - og) < best[0]:
                         c, pairs = self.forest(x.kids, g)
-                        best = min(best, (of - size(x) + 1 + c, pairs), key=lambda m: m[0])
+                        best = min(best, (of - x.size + 1 + c, pairs), key=lambda m: m[0])
                 for y in g:
-                    if y.kids:
+                    if y.kids and og - y.size + 1 + abs(y.size - 1 - of) < best[0]:
                         c, pairs = self.forest(f, y.kids)
-                        best = min(best, (og - size(y) + 1 + c, pairs), key=lambda m: m[0])
+                        best = min(best, (og - y.size + 1 + c, pairs), key=lambda m: m[0])
             self.forests[key] = best
         return self.forests[key]
 
     def match(self, f: tuple, g: tuple) -> tuple[float, list]:
-        sf, sg = list(map(size, f)), list(map(size, g))
-        c = np.array([[self.tree(x, y)[0] for y in g] for x in f])
+        sf, sg = [x.size for x in f], [y.size for y in g]
+        # two single fields need no more than their names and types
+        c = np.array([[_one(x, y) if not x.kids and not y.kids else self.tree(x, y)[0] for y in g] for x in f])
         to = assignment(c, np.array(sf, float), np.array(sg, float))
         cost = float(sum(sf) + sum(sg) + sum(c[i, j] - sf[i] - sg[j] for i, j in to))
         return cost, [p for i, j in to for p in self.tree(f[i], g[j])[1]]
@@ -232,7 +240,7 @@ def script(a: Node, b: Node) -> tuple[float, list[tuple[str, Node | None, Node |
     # whole subtrees that are gone on one side and new on the other, the largest gain first
     edit = Edit()
     free = lambda t, taken: all(z.steps not in taken for z in (t, *below(t)))
-    big = sorted(((edit.tree(x, y)[0] + MOVE - size(x) - size(y), x, y) for x in gone if x.kids for y in new if y.kids), key=lambda m: m[0])
+    big = sorted(((edit.tree(x, y)[0] + MOVE - x.size - y.size, x, y) for x in gone if x.kids for y in new if y.kids), key=lambda m: m[0])
     for gain, x, y in big:
         if gain < 0 and free(x, to) and free(y, used):
             for p, q in edit.tree(x, y)[1]:
@@ -260,7 +268,7 @@ def script(a: Node, b: Node) -> tuple[float, list[tuple[str, Node | None, Node |
 
 
 def canonical() -> Node:
-    return Node("record", "object", 1.0, tuple(Node(k, t, 1.0, (), (k,)) for k, t in CANONICAL.items()), ())
+    return node("record", "object", 1.0, tuple(node(k, t, 1.0, (), (k,)) for k, t in CANONICAL.items()), ())
 
 
 def shown(steps) -> str:
@@ -328,17 +336,19 @@ def file_fields(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list] = {}
         for pdf in batches:
-            out = []
+            counts: Counter = Counter()  # of a batch: fields of few files
             for source, seq, fid, text, n in pdf.itertuples(index=False):
                 if text is None:
-                    out.append((source, seq, fid, None, None, n))
+                    counts[source, seq, fid, None, None] += n
                     continue
-                if text not in known:
+                got = known.get(text)
+                if got is None:
                     if len(known) > 10_000:
                         known.clear()
-                    known[text] = [(list(s), k) for s, k in schema_fields(text)]
-                out += [(source, seq, fid, s, k, n) for s, k in known[text]]
-            yield pd.DataFrame(out, columns=[*file, "steps", "type", "n"])
+                    got = known[text] = schema_fields(text)
+                for s, k in got:
+                    counts[source, seq, fid, s, k] += n
+            yield pd.DataFrame([(*key[:3], None if key[3] is None else list(key[3]), key[4], n) for key, n in counts.items()], columns=[*file, "steps", "type", "n"])
 
     got = rows.mapInPandas(run, "source string, file_seq int, file_id long, steps array<string>, type string, n long")
     counts = got.groupBy(*file, "steps", "type").agg(F.sum("n").alias("n"))
