@@ -17,26 +17,27 @@ def count_letters(s: Column, letters: str) -> Column:
 
 
 def composition(s: Column) -> dict[str, Column]:
-    """Length, residue counts, charges, fractions, mean hydropathy and aromatic fraction; zeros for an empty sequence.
+    """Length, counts of R, K, D, E and of charges, net charge, fractions, mean hydropathy, aromatic residues; zeros for an
+    empty sequence.
 
     Null is treated as empty. Unknown residues count in the length and have hydropathy 0.
     """
     s = F.coalesce(F.trim(s), F.lit(""))
     n = F.length(s).cast("long")
     r, k, d, e = (count_letters(s, x) for x in "RKDE")
+    aromatic = count_letters(s, "FWY")
     frac = lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))
     hydro = sum((F.lit(v) * count_letters(s, a) for a, v in HYDROPATHY.items()), F.lit(0.0))
     return {
         "length": n, "n_r": r, "n_k": k, "n_d": d, "n_e": e, "n_pos": r + k, "n_neg": d + e, "net_charge": r + k - d - e,
-        "frac_pos": frac(r + k), "frac_neg": frac(d + e), "frac_charged": frac(r + k + d + e), "abs_charge_per_res": frac(F.abs(r + k - d - e)),
-        "hydropathy_mean": frac(hydro), "frac_aromatic": frac(count_letters(s, "FWY")),
+        "frac_r": frac(r), "frac_pos": frac(r + k), "frac_neg": frac(d + e), "hydropathy_mean": frac(hydro), "aromatic_count": aromatic, "frac_aromatic": frac(aromatic),
     }
 
 
 def sequence_class(s: Column) -> Column:
     """charged, polar or hydrophobic where all residues are of that one kind, else mixed; null stays null."""
-    u = F.upper(F.trim(s))
-    return F.when(u.rlike("^[DEKRH]+$"), "charged").when(u.rlike("^[STNQCYG]+$"), "polar").when(u.rlike("^[AVLIMFWP]+$"), "hydrophobic").when(u.isNotNull(), "mixed")
+    u = F.replace(F.replace(F.upper(F.trim(s)), F.lit("ALA_"), F.lit("")), F.lit("_"), F.lit(""))
+    return F.when(u.rlike("^[DEKRH]+$"), "charged").when(u.rlike("^[STNQ]+$"), "polar").when(u.rlike("^[AVILMFWP]+$"), "hydrophobic").when(u.isNotNull(), "mixed")
 
 
 def variant_of(path: Column) -> Column:
@@ -45,9 +46,9 @@ def variant_of(path: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    """Last folder without trailing separators and without the ending _nocap, lower case."""
+    """Last folder without trailing separators and without the ending _nocap, lower case; null for the placeholder n/a."""
     x = F.regexp_extract(F.regexp_replace(F.trim(path), "[/\\s]+$", ""), "([^/]*)$", 1)
-    return F.regexp_replace(F.lower(x), "_nocap$", "")
+    return F.when(F.lower(F.trim(path)) != "n/a", F.regexp_replace(F.lower(x), "_nocap$", ""))
 
 
 def effect_label(r: Column) -> Column:

@@ -176,7 +176,7 @@ def padded_attributes(spark, sf):
 def sequence_features(spark, sf):
     r = report(spark, sf)
     c = seq.composition(F.col("sequence"))
-    return r.select("report_id", *[(F.round(v, 6) if k.startswith(("frac", "abs", "hyd")) else v).alias(k) for k, v in c.items()])
+    return r.select("report_id", *[(F.round(v, 6) if k.startswith(("frac", "hyd")) else v).alias(k) for k, v in c.items()])
 
 
 def sequence_classes(spark, sf):
@@ -445,7 +445,7 @@ o AS (SELECT network_id, src AS node, COUNT(*) AS n_out, AVG(lr) AS out_mean, MA
 j AS (SELECT network_id, node, COALESCE(n_out, 0) AS n_out, COALESCE(n_in, 0) AS n_in, COALESCE(out_mean, 0) AS out_mean, COALESCE(out_max, 0) AS out_max, COALESCE(b_out, 0) AS b_out, COALESCE(in_mean, 0) AS in_mean, COALESCE(in_max, 0) AS in_max FROM o FULL JOIN i USING (network_id, node)),
 sd AS (SELECT network_id, state_id AS node, MAX(CAST(side = 'A' AS INT)) AS is_a, MAX(CAST(side = 'B' AS INT)) AS is_b FROM ab_states GROUP BY 1, 2),
 nf AS MATERIALIZED (SELECT network_id, node, n_out, n_in, ROUND(out_mean, 5) AS out_mean, ROUND(out_max, 5) AS out_max, ROUND(b_out, 5) AS b_out, ROUND(in_mean, 5) AS in_mean, ROUND(in_max, 5) AS in_max, ROUND((n_out + n_in) / COUNT(*) OVER (PARTITION BY network_id), 6) AS deg_frac, COALESCE(is_a, 0) AS is_a, COALESCE(is_b, 0) AS is_b FROM j LEFT JOIN sd USING (network_id, node))"""
-_BASE = "regexp_replace(lower(regexp_extract(regexp_replace(trim(dps_dir), '[/\\s]+$', ''), '([^/]*)$', 1)), '_nocap$', '')"
+_BASE = "CASE WHEN lower(trim(dps_dir)) <> 'n/a' THEN regexp_replace(lower(regexp_extract(regexp_replace(trim(dps_dir), '[/\\s]+$', ''), '([^/]*)$', 1)), '_nocap$', '') END"
 _R = f"WITH r AS (SELECT *, {_BASE} AS network_id, upper(trim(status)) AS st FROM micro_report_all)"
 _L = _R + """, lr AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY network_id ORDER BY loaded_at DESC, report_id DESC) AS rn FROM r WHERE regexp_matches(network_id, '^[a-z]+_(19sb|99idps)$') AND mfpt_ab > 0 AND mfpt_ab < 1 AND mfpt_ba > 0 AND mfpt_ba < 1) WHERE rn = 1)"""
 _T = _L + """, t AS MATERIALIZED (SELECT n.network_id, n.landscape_class, n.variant, lr.n, lr.pi_max, lr.nnz_per_state, log10(lr.mfpt_ab) AS lt_ab, log10(lr.mfpt_ba) AS lt_ba, ln(CAST(lr.n AS DOUBLE)) AS ln_n FROM networks n JOIN lr ON lr.network_id = n.network_id WHERE lr.n > 0)"""
@@ -482,9 +482,13 @@ CAST(COALESCE(na >= 1 AND nb >= 1 AND ab_overlap = 0, FALSE) AS INT) AS ab_ok, C
     "ids_in_any": f"SELECT network_id FROM (SELECT network_id FROM networks UNION SELECT {_BASE} FROM graph_features_coarse_t300k UNION SELECT network_id FROM graph_edges) WHERE network_id IS NOT NULL",
     "padded_attributes": "SELECT edge_id, " + ", ".join(f"CASE WHEN NOT isnan(edge_attr[{i + 1}]) AND ABS(edge_attr[{i + 1}]) < 1e30 THEN ROUND(CAST(edge_attr[{i + 1}] AS DOUBLE), 4) END AS a{i}" for i in range(5)) + " FROM graph_edges",
     "sequence_features": f"""WITH q AS (SELECT report_id, upper(COALESCE(trim(sequence), '')) AS s FROM micro_report_all), c AS (SELECT report_id, s, length(s) AS length, {_COUNT('R')} AS n_r, {_COUNT('K')} AS n_k, {_COUNT('D')} AS n_d, {_COUNT('E')} AS n_e, {_HYDRO} AS hy, {_COUNT('FWY')} AS ar FROM q)
-SELECT report_id, length, n_r, n_k, n_d, n_e, n_r + n_k AS n_pos, n_d + n_e AS n_neg, n_r + n_k - n_d - n_e AS net_charge, ROUND(COALESCE((n_r + n_k) / NULLIF(length, 0), 0), 6) AS frac_pos, ROUND(COALESCE((n_d + n_e) / NULLIF(length, 0), 0), 6) AS frac_neg, ROUND(COALESCE((n_r + n_k + n_d + n_e) / NULLIF(length, 0), 0), 6) AS frac_charged,
-ROUND(COALESCE(ABS(n_r + n_k - n_d - n_e) / NULLIF(length, 0), 0), 6) AS abs_charge_per_res, ROUND(COALESCE(CAST(hy AS DOUBLE) / NULLIF(length, 0), 0), 6) AS hydropathy_mean, ROUND(COALESCE(ar / NULLIF(length, 0), 0), 6) AS frac_aromatic FROM c""",
-    "sequence_classes": "SELECT network_id, CASE WHEN regexp_full_match(upper(trim(sequence)), '[DEKRH]+') THEN 'charged' WHEN regexp_full_match(upper(trim(sequence)), '[STNQCYG]+') THEN 'polar' WHEN regexp_full_match(upper(trim(sequence)), '[AVLIMFWP]+') THEN 'hydrophobic' WHEN sequence IS NOT NULL THEN 'mixed' END AS class, CASE WHEN contains(lower(network_id), '19sb') THEN '19sb' WHEN contains(lower(network_id), '99idps') THEN '99idps' ELSE 'unknown' END AS variant FROM networks",
+SELECT report_id, length, n_r, n_k, n_d, n_e, n_r + n_k AS n_pos, n_d + n_e AS n_neg, n_r + n_k - n_d - n_e AS net_charge, ROUND(COALESCE(n_r / NULLIF(length, 0), 0), 6) AS frac_r, ROUND(COALESCE((n_r + n_k) / NULLIF(length, 0), 0), 6) AS frac_pos, ROUND(COALESCE((n_d + n_e) / NULLIF(length, 0), 0), 6) AS frac_neg,
+ROUND(COALESCE(CAST(hy AS DOUBLE) / NULLIF(length, 0), 0), 6) AS hydropathy_mean, ar AS aromatic_count, ROUND(COALESCE(ar / NULLIF(length, 0), 0), 6) AS frac_aromatic FROM c""",
+    # letter by letter, as the rule is stated: one kind for all residues, else mixed
+    "sequence_classes": """WITH q AS (SELECT network_id, replace(replace(upper(trim(sequence)), 'ALA_', ''), '_', '') AS s FROM networks),
+k AS (SELECT network_id, CASE WHEN contains('DEKRH', c) THEN 'charged' WHEN contains('STNQ', c) THEN 'polar' WHEN contains('AVILMFWP', c) THEN 'hydrophobic' ELSE 'mixed' END AS kind FROM (SELECT network_id, unnest(string_split(s, '')) AS c FROM q WHERE s <> ''))
+SELECT n.network_id, CASE WHEN n.sequence IS NULL THEN NULL WHEN COUNT(DISTINCT kind) = 1 THEN MIN(kind) ELSE 'mixed' END AS class, CASE WHEN contains(lower(n.network_id), '19sb') THEN '19sb' WHEN contains(lower(n.network_id), '99idps') THEN '99idps' ELSE 'unknown' END AS variant
+FROM networks n LEFT JOIN k USING (network_id) GROUP BY n.network_id, n.sequence""",
     "log10_targets": _T + " SELECT network_id, ROUND(lt_ab, 6) AS lt_ab, ROUND(lt_ba, 6) AS lt_ba, ROUND(lt_ab - lt_ba, 6) AS log_ratio FROM t",
     "merged_features": _T + f" SELECT f.feature_id, t.network_id, f.n_nodes, f.density, f.degree_mean, ROUND(t.lt_ab, 6) AS lt_ab FROM graph_features_coarse_t300k f JOIN t ON t.network_id = {_BASE.replace('dps_dir', 'f.dps_dir')} WHERE density IS NOT NULL AND NOT isnan(density) AND degree_mean IS NOT NULL AND NOT isnan(degree_mean) AND n_nodes > 0",
     "numeric_columns": _FT + " UNION ALL ".join(f"SELECT '{c}' AS column_name, AVG(CAST({c} IS NOT NULL" + (f" AND NOT isnan({c})" if d else "") + " AS INT)) AS share FROM graph_features_coarse_t300k" for c, d in _FCOLS.items()) + ")",
