@@ -85,6 +85,22 @@ def generator(rates: DataFrame) -> DataFrame:
     return rates.select("network_id", "src", "dst", F.col("k").alias("q")).unionByName(diag)
 
 
+def rates_from_generator(q: DataFrame) -> DataFrame:
+    """K from Q: everything off the diagonal."""
+    return q.filter("src <> dst").select("network_id", "src", "dst", F.col("q").alias("k"))
+
+
+def branches_from_generator(q: DataFrame, tau: DataFrame) -> DataFrame:
+    """B from Q: entries off the diagonal times the waiting time tau(network_id, node, tau) of their source."""
+    return rates_from_generator(q).join(tau.select("network_id", F.col("node").alias("src"), "tau"), ["network_id", "src"]).select("network_id", "src", "dst", (F.col("k") * F.col("tau")).alias("b"))
+
+
+def generator_from_rates(rates: DataFrame, tau: DataFrame) -> DataFrame:
+    """Q from K and the waiting times: K less 1 / tau on the diagonal."""
+    diag = tau.select("network_id", F.col("node").alias("src"), F.col("node").alias("dst"), (-1 / F.col("tau")).alias("q"))
+    return rates.filter("src <> dst").select("network_id", "src", "dst", F.col("k").alias("q")).unionByName(diag)
+
+
 def generator_sanity(q: DataFrame, sign_tol: float = 1e-12) -> DataFrame:
     """Per network: size, entries, worst column and row sums, wrong signs."""
     col = q.groupBy("network_id", "src").agg(F.sum("q").alias("s")).groupBy("network_id").agg(F.max(F.abs("s")).alias("max_abs_colsum"), F.count("*").alias("n"))

@@ -161,6 +161,53 @@ def passage(scratch: Scratch, edges: DataFrame, ab: DataFrame) -> DataFrame:
     return t.groupBy(NET).agg(side("A", "m").alias("mfpt_ab"), side("A", "v").alias("var_ab"), side("B", "m").alias("mfpt_ba"), side("B", "v").alias("var_ba"))
 
 
+def stationary(edges: DataFrame, pi: DataFrame, tau: DataFrame) -> DataFrame:
+    """Stationary distribution of a reduced model: network_id, node, pi_restricted, pi_eff, tau_eff.
+
+    A kept state is visited pi / tau times a unit of time before and after the transformation; a jump now takes the mean
+    time tau_eff, so pi_eff is pi tau_eff / tau. pi_restricted is pi over its sum over the kept states.
+    """
+    t = edges.groupBy(NET, F.col("src").alias("node")).agg(F.sum("a").alias("tau_eff"))
+    x = t.join(pi.select(NET, "node", "pi"), [NET, "node"]).join(tau.select(NET, "node", "tau"), [NET, "node"]).withColumn("w", F.col("pi") * F.col("tau_eff") / F.col("tau"))
+    total = x.groupBy(NET).agg(F.sum("w").alias("tw"), F.sum("pi").alias("tp"))
+    return x.join(total, NET).select(NET, "node", (F.col("pi") / F.col("tp")).alias("pi_restricted"), (F.col("w") / F.col("tw")).alias("pi_eff"), "tau_eff")
+
+
+def reduced_generator(edges: DataFrame) -> DataFrame:
+    """Entries (network_id, src, dst, q) of the generator of transformed edges."""
+    tau = edges.groupBy(NET, "src").agg(F.sum("a").alias("tau"))
+    k = edges.filter("src <> dst").join(tau, [NET, "src"]).select(NET, "src", "dst", (F.col("p") / F.col("tau")).alias("q"))
+    return k.unionByName(k.groupBy(NET, "src").agg((-F.sum("q")).alias("q")).select(NET, "src", F.col("src").alias("dst"), "q"))
+
+
+def set_kinetics(scratch: Scratch, edges: DataFrame, pi: DataFrame, ab: DataFrame) -> DataFrame:
+    """Passage times and rates between sets of states, both ways: network_id, n_a, n_b, and for ab and ba mfpt, k_ss, k_nss, k_f, k_star.
+
+    With source set S, target set T and weights w = pi / pi(S): mfpt is the weighted mean of the states' times to T, k_star its
+    inverse, k_f the weighted mean of the inverse times. With c the probability of a state of S to meet T before S again,
+    k_ss is the weighted sum of c / tau with the state's own waiting time, k_nss the one with its waiting time after all
+    states outside both sets have been removed. pi holds the full distribution. An empty set gives nulls.
+    """
+    size = ab.groupBy(NET).agg(F.count_if(F.col("side") == "A").alias("n_a"), F.count_if(F.col("side") == "B").alias("n_b"))
+    both = size.filter("n_a > 0 AND n_b > 0").select(NET)
+    edges, out = scratch.put(edges.join(both, NET, "left_semi"), "sk_edges"), size
+    keep = ab.select(NET, F.col("min_id").alias("node"))
+    small = scratch.put(transform(scratch, edges, keep), "sk_small")
+    tau = edges.groupBy(NET, F.col("src").alias("node")).agg(F.sum("a").alias("tau"))
+    tau_eff = small.groupBy(NET, F.col("src").alias("node")).agg(F.sum("a").alias("tau_eff"))
+    for way, start, goal in (("ab", "A", "B"), ("ba", "B", "A")):
+        turned = ab.select(NET, "min_id", F.when(F.col("side") == goal, "B").otherwise("A").alias("side"))
+        m = committor_mfpt(small, turned).select(NET, "node", F.col("mfpt_to_b").alias("m"))
+        src = ab.filter(F.col("side") == start).select(NET, F.col("min_id").alias("node"))
+        dst = ab.filter(F.col("side") == goal).select(NET, F.col("min_id").alias("dst"))
+        c = small.join(dst, [NET, "dst"], "left_semi").groupBy(NET, F.col("src").alias("node")).agg(F.sum("p").alias("c"))
+        x = src.join(pi.select(NET, "node", "pi"), [NET, "node"]).join(m, [NET, "node"]).join(tau, [NET, "node"]).join(tau_eff, [NET, "node"]).join(c, [NET, "node"], "left").fillna(0.0, ["c"])
+        w = lambda v: F.sum(F.col("pi") * v) / F.sum("pi")
+        g = x.groupBy(NET).agg(w(F.col("m")).alias(f"mfpt_{way}"), w(F.col("c") / F.col("tau")).alias(f"k_ss_{way}"), w(F.col("c") / F.col("tau_eff")).alias(f"k_nss_{way}"), w(1 / F.col("m")).alias(f"k_f_{way}"))
+        out = out.join(g.withColumn(f"k_star_{way}", 1 / F.col(f"mfpt_{way}")), NET, "left")
+    return out
+
+
 def _local(fn, dense: int):
     """Runs fn(names, P, tau) on one reduced network of at most ``dense`` kept states."""
 
@@ -225,8 +272,8 @@ def committor_all(scratch: Scratch, edges: DataFrame, ab: DataFrame, dense: int
     return values
 
 
-def slow_modes(n: int, s: np.ndarray, d: np.ndarray, w: np.ndarray, escape: np.ndarray, k: int, most: int = 20_000) -> np.ndarray:
-    """The k + 1 least eigenvalues of diag(escape) - W, W symmetric with entries w at (s, d), without a dense matrix.
+def slow_modes(n: int, s: np.ndarray, d: np.ndarray, w: np.ndarray, escape: np.ndarray, k: int, most: int = 20_000, vectors: bool = False):
+    """The k + 1 least eigenvalues of diag(escape) - W, W symmetric with entries w at (s, d), without a dense matrix; with ``vectors`` also theirs.
 
     Blocks of the current vectors, their residuals over the diagonal and the last steps (LOBPCG), until every residual
     is below 1e-6 of its eigenvalue, so that eigenvalues are exact to about 1e-12 of it.
@@ -253,7 +300,7 @@ def slow_modes(n: int, s: np.ndarray, d: np.ndarray, w: np.ndarray, escape: np.n
         x, ax = x @ turn, ax @ turn
         rest = ax - x * value
         if np.all(np.linalg.norm(rest, axis=0)[:want] <= np.maximum(1e-6 * np.abs(value[:want]), floor)):
-            return value[:want]
+            return (value[:want], x[:, :want]) if vectors else value[:want]
         new = rest / escape[:, None]
         basis = np.c_[x, new / np.maximum(np.linalg.norm(new, axis=0), 1e-300), step]
         basis = np.linalg.qr(basis)[0]

@@ -335,19 +335,6 @@ def sssp_barrier(spark, sf):
     return rnd(graph.shortest(k.scratch, e, _sources(k), "barrier"), "dist")
 
 
-def distance_features(spark, sf):
-    """Least lengths from A to B and back over branching, rate and barrier lengths, and their asymmetry."""
-    k = Ktn(spark, sf, "h6")
-    to = k.ab.select(NET, F.col("side").alias("to"), F.col("min_id").alias("node"))
-    out = None
-    for name, e, w in (("branch", graph.log_lengths(ctmc.branching(k.rates), "b"), "len"), ("rate", graph.log_lengths(k.rates, "k"), "len")):
-        d = graph.shortest(k.scratch, e, _sources(k), w).join(to, [NET, "node"]).filter("side <> to")
-        f = d.groupBy(NET).agg(F.min(F.when(F.col("side") == "A", F.col("dist"))).alias(f"{name}_ab"), F.min(F.when(F.col("side") == "B", F.col("dist"))).alias(f"{name}_ba"))
-        f = k.scratch.put(f.withColumn(f"{name}_asym", F.col(f"{name}_ab") - F.col(f"{name}_ba")), f"d_{name}")
-        out = f if out is None else out.join(f, NET, "full")
-    return rnd(out, *[c for c in out.columns if c != NET])
-
-
 def path_features(spark, sf):
     """Hops of the shortest way from A to B and how many nodes lie on some way of at most twice as many."""
     k = Ktn(spark, sf, "h7")
@@ -410,7 +397,7 @@ def feature_row(spark, sf):
 QUERIES = {f.__name__: f for f in (
     ktn_edge_barriers, ktn_barrier_min_pair, ktn_barrier_percentiles, ktn_barrier_histogram, ktn_low_barrier_degree, ktn_components, ktn_component_sizes, ktn_lcc, ktn_basin_keep_set, ktn_keep_sweep,
     ctmc_rates, ctmc_branching, ctmc_wait, ctmc_pi, ctmc_detailed_balance, ctmc_generator_sanity, ctmc_stationarity, ctmc_truncated, gt_eliminate_one, gt_reduce, gt_validate, ab_kinetics, committor_mfpt, spectrum, spectral_features,
-    committor_sweeps, pagerank_10, eigvec_centrality_10, pagerank, eigvec_centrality, hops_ab, closeness_ab, sssp_branch, sssp_rate, sssp_barrier, distance_features, path_features, topology_features, triangles, clustering_coeff, modularity, community_features, feature_row,
+    committor_sweeps, pagerank_10, eigvec_centrality_10, pagerank, eigvec_centrality, hops_ab, closeness_ab, sssp_branch, sssp_rate, sssp_barrier, path_features, topology_features, triangles, clustering_coeff, modularity, community_features, feature_row,
 )} | {f"keep_{s}": _keep(s) for s in ctmc.KEEP_STYLES} | {"keep_product": _keep(ctmc.PRODUCT, 50)}
 
 _RULE = {"free_energy": "s.fe > c.fe_cut", "escape_time": "s.tau < c.tau_cut", "combined": "s.fe > c.fe_cut OR s.tau < c.tau_cut", "hybrid": "s.fe > c.fe_cut AND s.tau < c.tau_cut"}
@@ -421,10 +408,14 @@ def _keep_sql(style: str) -> str:
 n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY network_id, dropped ORDER BY pi DESC, node) AS rn, COUNT(*) FILTER (WHERE NOT dropped) OVER (PARTITION BY network_id) AS n_kept FROM d)""") + "SELECT network_id, node, CAST(NOT dropped OR rn <= 10 - n_kept AS INT) AS kept FROM n"
 
 
+def _chain_sql(prefix: str, first: str, step: str, names: int) -> list[str]:
+    """Relations <prefix>0 .. <prefix><names>, each made of the one before ({p})."""
+    return [f"{prefix}0 AS MATERIALIZED ({first})", *[f"{prefix}{i} AS MATERIALIZED ({step.format(p=f'{prefix}{i - 1}')})" for i in range(1, names + 1)]]
+
+
 def _loop_sql(first: str, step: str, names: int, last: str, needs: list[str], more: str) -> str:
     ctes = [more] if more else []
-    ctes.append(f"x0 AS MATERIALIZED ({first})")
-    ctes += [f"x{i} AS MATERIALIZED ({step.format(p=f'x{i - 1}')})" for i in range(1, names + 1)]
+    ctes += _chain_sql("x", first, step, names)
     return with_(*needs, more=",\n".join(ctes)) + last.format(p=f"x{names}")
 
 
