@@ -77,7 +77,7 @@ def centrality(m: Model) -> DataFrame:
     """9 columns: sums over A and over B of pi, PageRank, eigenvector centrality and closeness, and the ratio of the pi sums."""
     pi = by_side(m.pi, m.ab, "pi", "pi").withColumn("pi_ratio_ab", F.col("pi_a") / F.greatest(F.coalesce("pi_b", F.lit(0.0)), F.lit(1e-300)))
     pr = by_side(graph.pagerank(m.scratch, m.nodes, m.rates, 200, tol=1e-8), m.ab, "r", "pagerank")
-    ev = by_side(graph.eigenvector_centrality(m.scratch, m.nodes, m.rates, 5000, 1e-10), m.ab, "r", "eigvec_centrality")
+    ev = by_side(graph.eigenvector_centrality(m.scratch, m.nodes, m.rates, 1000, 1e-10), m.ab, "r", "eigvec_centrality")
     sources = m.ab.select(NET, F.concat_ws(":", "side", "min_id").alias("side"), F.col("min_id").alias("node"))
     c = graph.closeness(graph.shortest(m.scratch, graph.symmetrise(m.rates), sources))
     cl = c.groupBy(NET).agg(*[F.sum(F.when(F.col("side").startswith(s), F.coalesce("closeness", F.lit(0.0)))).alias(f"closeness_centrality_{s.lower()}") for s in "AB"])

@@ -5,6 +5,8 @@ Loops keep one small state table, join it to the edges and write each generation
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ctmcflow.session import Scratch
@@ -72,68 +74,136 @@ def basin_keep_set(scratch: Scratch, minima: DataFrame, barriers: DataFrame, ab:
     return reps.union(extra.crossJoin(F.broadcast(grid)).select(NET, "cut", "node")).distinct()
 
 
+STEPS = 5  # steps of a loop in one written generation
+
+
 def _settled(r: DataFrame, tol: float) -> bool:
     """Whether the last step moved less than tol in every network: the sum of absolute changes, as the reference takes it."""
     return r.groupBy(NET).agg(F.sum("change").alias("c")).filter(F.col("c") >= tol).limit(1).count() == 0
 
 
+def _powers(e: DataFrame, r: DataFrame, value: str, times: int) -> DataFrame:
+    """edges(network_id, src, dst, w) applied ``times`` times to r(network_id, node, value). A step reads the one before it once, so plans stay short."""
+    for _ in range(times):
+        r = e.join(r.select(NET, F.col("node").alias("src"), value), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    return r
+
+
+TELEPORT = -1  # the node that holds a network's total and hands it out again; states have numbers from 0
+
+
 def pagerank(scratch: Scratch, nodes: DataFrame, rates: DataFrame, steps: int = 10, alpha: float = 0.85, tol: float | None = None) -> DataFrame:
     """PageRank on column-normalised rates, renormalised after each step; nodes without out-edges send nothing.
 
-    ``steps`` steps; with tol, at most so many, until the last one changed less than tol in every network.
+    ``steps`` steps; with tol, at most so many, until a step changed less than tol in every network, which is looked at
+    after every ``STEPS`` of them. The total of a network is one more node that every node with edges pays into, so a step
+    is one linear map, several steps are one plan, and values are scaled when they are written.
     """
     out = rates.groupBy(NET, "src").agg(F.sum("k").alias("t"))
-    e = scratch.put(rates.join(out, [NET, "src"]).select(NET, "src", "dst", (F.col("k") / F.col("t")).alias("p")), "pr_edges")
     size = nodes.groupBy(NET).agg(F.count("*").alias("n"))
-    r = scratch.put(nodes.select(NET, "node").join(size, NET).select(NET, "node", "n", (1.0 / F.col("n")).alias("r")), "pr", keep=2)
-    for _ in range(steps):
-        got = e.join(r.select(NET, F.col("node").alias("src"), "r"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("g"))
-        x = r.join(got, [NET, "node"], "left").select(NET, "node", "n", "r", ((1 - alpha) / F.col("n") + alpha * F.coalesce("g", F.lit(0.0))).alias("x"))
-        total = x.groupBy(NET).agg(F.sum("x").alias("s"))
-        new = F.col("x") / F.col("s")
-        r = scratch.put(x.join(total, NET).select(NET, "node", "n", new.alias("r"), F.abs(new - F.col("r")).alias("change")), "pr", keep=2)
-        if tol is not None and _settled(r, tol):
+    hub = F.lit(TELEPORT).cast("long")
+    parts = [
+        rates.join(out, [NET, "src"]).select(NET, "src", "dst", (alpha * F.col("k") / F.col("t")).alias("w")),
+        out.select(NET, "src", hub.alias("dst"), F.lit(alpha).alias("w")),
+        nodes.join(size, NET).select(NET, hub.alias("src"), F.col("node").alias("dst"), ((1 - alpha) / F.col("n")).alias("w")),
+        size.select(NET, hub.alias("src"), hub.alias("dst"), F.lit(1 - alpha).alias("w")),
+    ]
+    e = scratch.put(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "pr_edges")
+    start = nodes.join(size, NET).select(NET, "node", (1.0 / F.col("n")).alias("r")).unionByName(size.select(NET, hub.alias("node"), F.lit(1.0).alias("r")))
+    r = scratch.put(start, "pr", keep=2)
+    total = lambda x: x.filter(F.col("node") == TELEPORT).select(NET, F.col("r").alias("t"))
+    scaled = lambda x: x.join(total(x), NET).select(NET, "node", (F.col("r") / F.col("t")).alias("r"))
+    done = 0
+    while done < steps:
+        n = min(STEPS, steps - done)
+        done += n
+        if tol is None:
+            r = scratch.put(_powers(e, r, "r", n), "pr", keep=2)
+            continue
+        before = scratch.put(_powers(e, r, "r", n - 1), "pr_before", keep=2) if n > 1 else r
+        r = scratch.put(scaled(scratch.put(_powers(e, before, "r", 1), "pr_raw", keep=2)), "pr", keep=2)
+        change = r.join(scaled(before).withColumnRenamed("r", "was"), [NET, "node"]).select(NET, F.abs(F.col("r") - F.col("was")).alias("change"))
+        if _settled(change, tol):
             break
-    return r.select(NET, "node", "r")
+    return scaled(r).filter(F.col("node") != TELEPORT)
 
 
 def eigenvector_centrality(scratch: Scratch, nodes: DataFrame, edges: DataFrame, steps: int = 10, tol: float | None = None) -> DataFrame:
-    """Power iteration on the symmetric adjacency plus the identity, scaled to sum 1 after each step.
+    """The dominant eigenvector of the symmetric adjacency, positive and scaled to sum 1.
 
-    ``steps`` steps; with tol, until the last one changed less than tol in every network, an error after ``steps`` of them.
+    Without tol: ``steps`` plain power steps with the adjacency plus the identity. With tol: each round makes the
+    powers up to ``STEPS`` of the vector by joins and takes the best combination of them, from their products per network
+    (Rayleigh and Ritz), until a power step would change less than tol in every network; an error after ``steps`` rounds.
+    Every network should be connected.
     """
-    e = scratch.put(symmetrise(edges), "ev_edges")
+    loops = nodes.select(NET, F.col("node").alias("src"), F.col("node").alias("dst"))
+    e = scratch.put(symmetrise(edges).unionByName(loops).withColumn("w", F.lit(1.0)), "ev_edges")
     size = nodes.groupBy(NET).agg(F.count("*").alias("n"))
     r = nodes.select(NET, "node").join(size, NET).select(NET, "node", (1.0 / F.col("n")).alias("r"))
+    done = 0
+    while tol is None and done < steps:
+        n = min(STEPS, steps - done)
+        done += n
+        x = scratch.put(_powers(e, r, "r", n), "ev", keep=2)
+        r = x.join(x.groupBy(NET).agg(F.sum("r").alias("s")), NET).select(NET, "node", (F.col("r") / F.col("s")).alias("r"))
+    if tol is None:
+        return r
     for _ in range(steps):
-        got = e.join(r.select(NET, F.col("node").alias("src"), "r"), [NET, "src"]).groupBy(NET, F.col("dst").alias("node")).agg(F.sum("r").alias("g"))
-        x = r.join(got, [NET, "node"], "left").select(NET, "node", "r", (F.col("r") + F.coalesce("g", F.lit(0.0))).alias("x"))
-        total = x.groupBy(NET).agg(F.sum("x").alias("s"))
-        new = F.col("x") / F.col("s")
-        r = scratch.put(x.join(total, NET).select(NET, "node", new.alias("r"), F.abs(new - F.col("r")).alias("change")), "ev", keep=2)
-        if tol is not None and _settled(r, tol):
-            break
-    else:
-        if tol is not None:
-            raise ValueError(f"eigenvector centrality has not settled to {tol} in {steps} steps")
-    return r.select(NET, "node", "r")
+        powers = [scratch.put(r.select(NET, "node", F.col("r").alias("p0")), "ev_0", keep=2)]
+        for i in range(1, STEPS + 1):
+            was = powers[-1].select(NET, "node", F.col(f"p{i - 1}").alias(f"p{i}"))
+            powers.append(scratch.put(_powers(e, was, f"p{i}", 1), f"ev_{i}", keep=2))
+        t = powers[0]
+        for p in powers[1:]:
+            t = t.join(p, [NET, "node"])
+        t = scratch.put(t, "ev_powers", keep=2)
+        sums = [F.sum(F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(STEPS + 1) for j in range(i, STEPS + 1)]
+        best = t.groupBy(NET).agg(*sums).mapInPandas(_ritz, f"{NET} string, " + ", ".join(f"c{i} double" for i in range(STEPS)))
+        mix = lambda k: sum((F.col(f"c{i}") * F.col(f"p{i + k}") for i in range(STEPS)), F.lit(0.0))
+        x = scratch.put(t.join(best, NET).select(NET, "node", F.abs(mix(0)).alias("x"), F.abs(mix(1)).alias("y")), "ev_mixed", keep=2)
+        total = x.groupBy(NET).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+        new = F.col("y") / F.col("sy")
+        r = scratch.put(x.join(total, NET).select(NET, "node", new.alias("r"), F.abs(new - F.col("x") / F.col("sx")).alias("change")), "ev", keep=2)
+        if _settled(r, tol):
+            return r.select(NET, "node", "r")
+    raise ValueError(f"eigenvector centrality has not settled to {tol} in {steps} rounds")
+
+
+def _ritz(batches):
+    """The combination of the first ``STEPS`` powers that has the largest Rayleigh quotient, per network, from the powers' products."""
+    for pdf in batches:
+        rows = []
+        for _, r in pdf.iterrows():
+            g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(STEPS + 1)] for i in range(STEPS + 1)], float)
+            d = 1 / np.sqrt(np.diag(g))[:STEPS]  # powers grow: each to length one
+            a, b = g[:STEPS, :STEPS] * np.outer(d, d), g[:STEPS, 1:] * np.outer(d, d)
+            w, v = np.linalg.eigh((a + a.T) / 2)
+            keep = w > 1e-13 * w[-1]
+            z = v[:, keep] / np.sqrt(w[keep])
+            m = z.T @ b @ z
+            rows.append((r[NET], *(d * (z @ np.linalg.eigh((m + m.T) / 2)[1][:, -1]))))
+        yield pd.DataFrame(rows, columns=[NET, *[f"c{i}" for i in range(STEPS)]])
 
 
 def shortest(scratch: Scratch, edges: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
     """Distance from labelled source sets: sources(network_id, side, node) -> network_id, side, node, dist.
 
-    Only nodes whose distance fell in the last round are relaxed again; without a weight the distance is hops.
-    Lengths must not be negative. Nodes out of reach do not come out.
+    Only nodes whose distance fell in the last round are relaxed again, over up to three edges in one round; without a
+    weight the distance is hops. Lengths must not be negative. Nodes out of reach do not come out.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     e = scratch.put(edges.select(NET, "src", "dst", w.alias("w")).groupBy(NET, "src", "dst").agg(F.min("w").alias("w")), "sp_edges")
     dist = scratch.put(sources.select(NET, "side", "node", F.lit(0.0).alias("dist")).distinct(), "sp", keep=2)
-    front = dist
+    front, key = dist, [NET, "side", "node"]
     while front.limit(1).count():
-        step = front.select(NET, "side", F.col("node").alias("src"), "dist").join(e, [NET, "src"]).groupBy(NET, "side", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        both = dist.join(step, [NET, "side", "node"], "full")
+        step, ways = front, None
+        for _ in range(3):
+            step = step.select(NET, "side", F.col("node").alias("src"), "dist").join(e, [NET, "src"]).groupBy(NET, "side", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+            ways = step if ways is None else ways.unionByName(step)
+        new = ways.groupBy(*key).agg(F.min("dist").alias("new"))
+        both = dist.join(new, key, "full")
         better = F.coalesce(F.col("new") < F.col("dist"), F.col("dist").isNull())
-        both = scratch.put(both.select(NET, "side", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("moved")), "sp_next", keep=2)
+        both = scratch.put(both.select(*key, F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("moved")), "sp_next", keep=2)
         dist, front = both.drop("moved"), both.filter("moved").drop("moved")
     return dist
 
@@ -174,8 +244,8 @@ def assortativity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pearson correlation of end degrees over undirected edges; 0 where it is undefined."""
     d = degrees(nodes, edges).select(NET, "node", F.col("deg").cast("double").alias("deg"))
     e = symmetrise(edges).join(d.select(NET, F.col("node").alias("src"), F.col("deg").alias("a")), [NET, "src"]).join(d.select(NET, F.col("node").alias("dst"), F.col("deg").alias("b")), [NET, "dst"])
-    c = F.corr("a", "b")
-    return e.groupBy(NET).agg(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias("assortativity"))
+    c = F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))
+    return e.groupBy(NET).agg(F.coalesce(c, F.lit(0.0)).alias("assortativity"))
 
 
 def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -299,7 +299,7 @@ def eigvec_centrality(spark, sf):
     """The dominant eigenvector of each network's largest component, to 1e-10; its other nodes have 0."""
     k = Ktn(spark, sf, "p4")
     m, r, _ = k.connected()
-    core = graph.eigenvector_centrality(k.scratch, m.select(NET, F.col("min_id").alias("node")), r, 5000, 1e-10)
+    core = graph.eigenvector_centrality(k.scratch, m.select(NET, F.col("min_id").alias("node")), r, 1000, 1e-10)
     return k.nodes.join(core, [NET, "node"], "left").fillna(0.0, ["r"])
 
 
