@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ctmcflow.operators.stats import quantiles
 from ctmcflow.session import table
 
 KB = 0.0019872041  # fixed value: kcal/mol/K
@@ -151,8 +152,13 @@ def keep_states(states: DataFrame, style: str = "hybrid", percent: float = 5.0,
     """
     p = percent / 100.0
     s = states.withColumn("fe", -F.ln(F.greatest(F.col("pi"), F.lit(1e-300))))
-    cut = s.filter("NOT must").groupBy("network_id").agg(F.percentile("fe", p).alias("fe_cut"), F.percentile("tau", 1 - p).alias("tau_cut"), F.percentile(F.col("tau") * F.col("pi"), 1 - p).alias("both_cut"))
-    s = s.join(cut, "network_id", "left")
+    free = s.filter("NOT must").withColumn("both", F.col("tau") * F.col("pi"))
+    needed = {"fe_cut": ("fe", p, style != "escape_time" and style != PRODUCT), "tau_cut": ("tau", 1 - p, style != "free_energy" and style != PRODUCT), "both_cut": ("both", 1 - p, style == PRODUCT)}
+    for name, (c, at, used) in needed.items():
+        if used:
+            s = s.join(quantiles(free, c, [at], ["network_id"]).select("network_id", F.col("q0").alias(name)), "network_id", "left")
+        else:
+            s = s.withColumn(name, F.lit(None).cast("double"))
     high, fast = F.col("fe") > F.col("fe_cut"), F.col("tau") < F.col("tau_cut")
     rule = {"free_energy": high, "escape_time": fast, "combined": high | fast, "hybrid": high & fast, PRODUCT: F.col("tau") * F.col("pi") < F.col("both_cut")}[style]
     s = s.withColumn("drop", F.coalesce(~F.col("must") & rule, F.lit(False)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ctmcflow.session import Scratch
@@ -39,25 +40,104 @@ def kruskal(ranked: DataFrame, group: str) -> DataFrame:
     return s.select(F.col("N").alias("n"), "k", "h", F.greatest(F.lit(0.0), F.try_divide(F.col("h") - F.col("k") + 1, n - F.col("k"))).alias("eta2"), F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)).alias("p"))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """U, rank-biserial correlation 1 - 2U/(n1 n2) and z for each pair of groups, from value counts.
+def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation per group: ``by`` columns, n, q0, q1, .. in the order of ``probs``.
 
-    Pairs of values are never built: for every value the number of smaller ones in the other group comes from
-    cumulative counts over the distinct values, taken per pair of groups.
+    Nulls and NaN do not count; groups without values do not come out. Distinct values are range-partitioned by group and
+    value, the place of a value is its place in its partition plus the group's rows in the partitions before, so no group
+    and no column meets in one task.
     """
-    c = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    names = c.select(F.col(group).alias("g")).distinct()
-    a, b = names.select(F.col("g").alias("g1")), names.select(F.col("g").alias("g2"))
-    pairs = a.crossJoin(b).filter("g1 < g2")  # a handful of classes
-    both = c.join(F.broadcast(pairs), (F.col(group) == F.col("g1")) | (F.col(group) == F.col("g2")))
-    v = both.groupBy("g1", "g2", value).agg(F.sum(F.when(F.col(group) == F.col("g1"), F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col(group) == F.col("g2"), F.col("n")).otherwise(0)).alias("n2"))
-    w = Window.partitionBy("g1", "g2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below2", F.coalesce(F.sum("n2").over(w), F.lit(0)))
-    u = v.groupBy("g1", "g2").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum(F.col("n1") * (F.col("below2") + F.col("n2") / 2.0)).alias("u"))
+    scratch, by = scratch or Scratch(df.sparkSession, "quantiles"), by or []
+    v = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    c = v.groupBy(*by, "_v").agg(F.count("*").alias("_n")).repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id())
+    c = scratch.put(c, "ranged")
+    sizes = c.groupBy(*by, "_p").agg(F.sum("_n").alias("_s"))
+    # a row per group and partition it lies in
+    w = Window.partitionBy(*by).orderBy("_p") if by else Window.orderBy("_p")
+    before = sizes.withColumn("_off", F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = sizes.groupBy(*by).agg(F.sum("_s").alias("n"))
+    # null is a group like any other
+    rename = lambda d: d.select(*[F.col(b).alias(f"_{b}") for b in by], *[x for x in d.columns if x not in by])
+    b4, tt = rename(before.drop("_s").withColumnRenamed("_p", "_q")), rename(total)
+    j = c.join(b4, [F.col("_p") == F.col("_q")] + [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]).drop("_q", *[f"_{b}" for b in by])
+    j = j.join(tt, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]).drop(*[f"_{b}" for b in by]) if by else j.crossJoin(F.broadcast(tt))  # one row
+    hi = F.col("_off") + F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy("_v"))
+    j = j.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    at = [(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
+    hit = lambda x: F.max(F.when((F.col("_lo") <= x) & (x < F.col("_hi")), F.col("_v")))
+    g = j.groupBy(*by, "n").agg(*[x for i, a in enumerate(at) for x in (hit(F.floor(a)).alias(f"_f{i}"), hit(F.ceil(a)).alias(f"_c{i}"))])
+    return g.select(*by, "n", *[(F.col(f"_f{i}") + (a - F.floor(a)) * (F.col(f"_c{i}") - F.col(f"_f{i}"))).alias(f"q{i}") for i, a in enumerate(at)])
+
+
+def mann_whitney(df: DataFrame, value: str, group: str, scratch: Scratch | None = None) -> DataFrame:
+    """U, rank-biserial correlation 1 - 2U/(n1 n2), z and ties (sum of t^3 - t) for each pair of groups, from value counts.
+
+    Groups are a handful of classes, a column each. Distinct values are range-partitioned; how many values of a group lie below
+    comes from running counts in a partition plus the sums of the partitions before. Pairs of values are never built, and no
+    task sees the whole column. Empty tables give no rows.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "mw")
+    names = sorted(r[0] for r in df.select(group).distinct().limit(101).collect() if r[0] is not None)
+    if len(names) > 100:
+        raise ValueError("Mann-Whitney tests of all pairs are for at most 100 groups")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "g1 string, g2 string, n1 long, n2 long, u double, ties double, rank_biserial double, z double")
+    count = [F.count_if(F.col(group) == x).alias(f"_n{i}") for i, x in enumerate(names)]
+    c = df.groupBy(value).agg(*count).repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    c = scratch.put(c, "ranged")
+    sizes = c.groupBy("_p").agg(*[F.sum(f"_n{i}").alias(f"_s{i}") for i in range(len(names))])
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = sizes.select("_p", *[F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0)).alias(f"_o{i}") for i in range(len(names))])
+    below = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    j = c.join(F.broadcast(before), "_p")
+    j = j.withColumns({f"_b{i}": F.col(f"_o{i}") + F.coalesce(F.sum(f"_n{i}").over(below), F.lit(0)) for i in range(len(names))})
+    n = lambda i: F.col(f"_n{i}").cast("double")
+    sums = [F.sum(f"_n{i}").alias(f"n{i}") for i in range(len(names))]
+    for a, b in pairs:
+        t = n(a) + n(b)
+        sums += [F.sum(n(a) * (F.col(f"_b{b}") + n(b) / 2.0)).alias(f"u{a}_{b}"), F.sum(t * t * t - t).alias(f"t{a}_{b}")]
+    one = j.agg(*sums)
+    rows = [F.struct(F.lit(names[a]).alias("g1"), F.lit(names[b]).alias("g2"), F.col(f"n{a}").alias("n1"), F.col(f"n{b}").alias("n2"), F.col(f"u{a}_{b}").alias("u"), F.col(f"t{a}_{b}").alias("ties")) for a, b in pairs]
+    u = one.select(F.inline(F.array(*rows)))
     m = F.col("n1").cast("double") * F.col("n2")
     return u.withColumn("rank_biserial", 1 - 2 * F.col("u") / m).withColumn("z", (F.col("u") - m / 2) / F.sqrt(m * (F.col("n1") + F.col("n2") + 1) / 12))
 
 
+def mann_whitney_p(tests: DataFrame, small: int = 8) -> DataFrame:
+    """Adds p, two-sided: exact where the smaller group has at most ``small`` values and nothing is tied, else normal with the
+    correction for ties and half a unit of U."""
+    m, n = F.col("n1").cast("double") * F.col("n2"), (F.col("n1") + F.col("n2")).cast("double")
+    var = m / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    z = F.try_divide(F.abs(F.col("u") - m / 2) - 0.5, F.sqrt(var))
+    normal = F.least(F.lit(1.0), two_sided(F.greatest(z, F.lit(0.0))))
+    few = (F.least("n1", "n2") <= small) & (F.col("ties") == 0)
+    return tests.withColumn("p", F.when(few, _exact_p("n1", "n2", "u")).otherwise(normal))
+
+
+@F.pandas_udf("double")
+def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    """Exact two-sided p of untied U, from the number of orders with each U (a handful of rows, groups of a few values)."""
+    out = []
+    for a, b, x in zip(n1, n2, u):
+        a, b = int(min(a, b)), int(max(a, b))
+        if a > 8:
+            out.append(None)  # this row takes the normal p
+            continue
+        # orders of i values of the one and j of the other: the last is one of the second (U unchanged) or of the first (all j count)
+        ways = [np.ones(1) for _ in range(b + 1)]
+        for _ in range(a):
+            new = [ways[0]]
+            for j in range(1, b + 1):
+                lift = np.r_[np.zeros(j), ways[j]]
+                low = np.r_[new[j - 1], np.zeros(len(lift) - len(new[j - 1]))] if len(new[j - 1]) < len(lift) else new[j - 1]
+                new.append(low + np.r_[lift, np.zeros(len(low) - len(lift))])
+            ways = new
+        p = ways[b] / ways[b].sum()
+        out.append(min(1.0, 2 * float(p[int(round(max(x, a * b - x))) :].sum())))
+    return pd.Series(out)
+
+
 def _products(xs: list[str], y: str) -> list[Column]:
     """Sums of products of the columns (the first being ones) and the target, as aggregates."""
     cols = [F.lit(1.0), *map(F.col, xs)]
@@ -175,17 +255,28 @@ def metrics(y: str, p: str) -> list[Column]:
 
 
 def forward_selection(df: DataFrame, xs: list[str], y: str, most: int = 4, drop: float = 0.01) -> list[tuple[int, str, float]]:
-    """Greedy choice by leave-one-out R^2; candidates of a step are scored together, the failing step is the last."""
+    """Greedy choice by leave-one-out R^2; the step that loses more than ``drop`` is the last.
+
+    One aggregate gives the sums of products of all regressors; a step scores all its candidates in one more pass.
+    """
+    g, b, *_ = gram(df, xs, y)
     chosen: list[str] = []
     history: list[tuple[int, str, float]] = []
     best = -math.inf
     while len(chosen) < min(most, len(xs)):
-        scored = []
-        for x in xs:
-            if x not in chosen:
-                r = loo(df, [*chosen, x], y).agg(*metrics(y, "loo")).first()
-                scored.append((r["r2"] if r["r2"] is not None else -math.inf, x))
-        score, x = max(scored)
+        open_ = [x for x in xs if x not in chosen]
+        aggs = []
+        for k, x in enumerate(open_):
+            use = [*chosen, x]
+            at = [0, *[1 + xs.index(c) for c in use]]
+            inv = _inverse(g[np.ix_(at, at)], 0.0)
+            beta, cols = inv @ b[at], [F.lit(1.0), *map(F.col, use)]
+            pred = sum((F.lit(float(w)) * c for w, c in zip(beta, cols)), F.lit(0.0))
+            lever = sum((F.lit(float(inv[i, j])) * cols[i] * cols[j] for i in range(len(cols)) for j in range(len(cols))), F.lit(0.0))
+            e = F.try_divide(F.col(y) - pred, 1 - lever)
+            aggs.append((1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias(f"r{k}"))
+        row = df.agg(*aggs).first()
+        score, x = max((row[f"r{k}"] if row[f"r{k}"] is not None else -math.inf, x) for k, x in enumerate(open_))
         history.append((len(history) + 1, x, score))
         if score < best - drop:
             break

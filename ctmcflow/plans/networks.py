@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ctmcflow.operators import ctmc, graph, reduce
+from ctmcflow.operators import ctmc, graph, reduce, stats
 from ctmcflow.operators.graph import NET
 from ctmcflow.session import Scratch
 
@@ -103,7 +103,8 @@ def ktn_barrier_min_pair(spark, sf):
 def ktn_barrier_percentiles(spark, sf):
     k = Ktn(spark, sf, "k3")
     b = ctmc.edge_barriers(k.ts, k.minima)
-    return rnd(b.groupBy(NET).agg(*[F.percentile("barrier", p / 100).alias(f"p{p}") for p in (25, 50, 75, 90)]), "p25", "p50", "p75", "p90")
+    q = stats.quantiles(b, "barrier", [0.25, 0.5, 0.75, 0.9], [NET], k.scratch)
+    return q.select(NET, *[F.round(f"q{i}", 6).alias(p) for i, p in enumerate(("p25", "p50", "p75", "p90"))])
 
 
 def ktn_barrier_histogram(spark, sf):

@@ -52,11 +52,12 @@ def sparsify_topk(spark, sf):
 
 
 def ablation_pivot(spark, sf):
-    """Edges left per network for each top-k of a grid, one column per k."""
-    e = clean_edges(spark, sf)
+    """Edges left per network for each top-k of a grid, one column per k. Sources are cut to the largest k before they are shuffled."""
+    e = Scratch(spark, "ablation").put(clean_edges(spark, sf), "edges")
     w = Window.partitionBy(NET, "src").orderBy(F.desc("lr"), "dst")
-    r = e.withColumn("rn", F.row_number().over(w))
-    return r.groupBy(NET).agg(*[F.count_if(F.col("rn") <= k).alias(f"k{k}") for k in (1, 5, 10, 20)], F.count("*").alias("k_all"))
+    top = e.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 20)
+    r = top.groupBy(NET).agg(*[F.count_if(F.col("rn") <= k).alias(f"k{k}") for k in (1, 5, 10, 20)])
+    return r.join(e.groupBy(NET).agg(F.count("*").alias("k_all")), NET)
 
 
 def lograte_moments(spark, sf):
@@ -115,9 +116,14 @@ def status_counts(spark, sf):
 
 def status_rollup(spark, sf):
     """Least, median and greatest state count and log10 passage time by status, and over all rows."""
-    r = report(spark, sf).withColumn("lt", F.when((F.col("mfpt_ab") > 0) & ~F.isnan("mfpt_ab"), F.log10("mfpt_ab")))
-    g = r.rollup("st").agg(F.count("*").alias("rows"), F.min("n").alias("n_min"), F.percentile("n", 0.5).alias("n_median"), F.max("n").alias("n_max"), F.round(F.percentile("lt", 0.5), 6).alias("lt_median"), F.grouping("st").cast("long").alias("total"))
-    return g
+    lt = F.when((F.col("mfpt_ab") > 0) & ~F.isnan("mfpt_ab"), F.log10("mfpt_ab"))
+    r = Scratch(spark, "rollup").put(report(spark, sf).select("st", "n", lt.alias("lt")), "rows")
+    g = r.rollup("st").agg(F.count("*").alias("rows"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.grouping("st").cast("long").alias("total"))
+    for c, name in (("n", "n_median"), ("lt", "lt_median")):
+        q = stats.quantiles(r, c, [0.5], ["st"]).select(F.col("st").alias("_st"), F.lit(0).cast("long").alias("_total"), F.col("q0").alias(name))
+        q = q.unionByName(stats.quantiles(r, c, [0.5]).select(F.lit(None).cast("string").alias("_st"), F.lit(1).cast("long").alias("_total"), F.col("q0").alias(name)))
+        g = g.join(q, F.col("st").eqNullSafe(F.col("_st")) & (F.col("total") == F.col("_total")), "left").drop("_st", "_total")
+    return g.select("st", "rows", "n_min", "n_median", "n_max", F.round("lt_median", 6).alias("lt_median"), "total")
 
 
 def report_lines(spark, sf):
@@ -211,9 +217,9 @@ def numeric_columns(spark, sf):
 
 
 def class_descriptives(spark, sf):
-    t = targets(spark, sf).filter("landscape_class IS NOT NULL")
-    q = lambda p: F.percentile("lt_ab", p)
-    g = t.groupBy("landscape_class").agg(F.count("*").alias("n"), F.avg("lt_ab").alias("mean"), q(0.5).alias("median"), F.stddev_samp("lt_ab").alias("std"), F.min("lt_ab").alias("min"), F.max("lt_ab").alias("max"), (q(0.75) - q(0.25)).alias("iqr"))
+    t = Scratch(spark, "classes").put(targets(spark, sf).filter("landscape_class IS NOT NULL").select("landscape_class", "lt_ab"), "targets")
+    q = stats.quantiles(t, "lt_ab", [0.25, 0.5, 0.75], ["landscape_class"]).select("landscape_class", F.col("q1").alias("median"), (F.col("q2") - F.col("q0")).alias("iqr"))
+    g = t.groupBy("landscape_class").agg(F.count("*").alias("n"), F.avg("lt_ab").alias("mean"), F.stddev_samp("lt_ab").alias("std"), F.min("lt_ab").alias("min"), F.max("lt_ab").alias("max")).join(q, "landscape_class", "left")
     return g.select("landscape_class", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "min", "max", "iqr")])
 
 
@@ -225,10 +231,18 @@ def kruskal(spark, sf):
 
 def mann_whitney(spark, sf):
     t = targets(spark, sf).filter("landscape_class IS NOT NULL").select("landscape_class", F.round("lt_ab", 3).alias("v"))
-    m = stats.mann_whitney(t, "v", "landscape_class")
+    m = stats.mann_whitney(Scratch(spark, "mw").put(t, "values"), "v", "landscape_class")
     return m.select("g1", "g2", "n1", "n2", "u", F.round("rank_biserial", 6).alias("rank_biserial"), F.round("z", 6).alias("z"), seq.effect_label(F.col("rank_biserial")).alias("effect"))
 
 
+def mann_whitney_exact(spark, sf):
+    """Mann-Whitney tests of the class pairs on unrounded times: p exact for small untied groups, else corrected for ties and continuity; Bonferroni."""
+    t = targets(spark, sf).filter("landscape_class IS NOT NULL").select("landscape_class", F.col("lt_ab").alias("v"))
+    m = stats.mann_whitney_p(stats.mann_whitney(Scratch(spark, "mwe").put(t, "values"), "v", "landscape_class"))
+    m = m.crossJoin(F.broadcast(m.agg(F.count("*").alias("pairs"))))  # one row
+    return m.select("g1", "g2", "n1", "n2", "u", "ties", "rank_biserial", "p", F.least(F.lit(1.0), F.col("p") * F.col("pairs")).alias("p_bonferroni"), seq.effect_label(F.col("rank_biserial")).alias("effect"))
+
+
 def class_pair_tests(spark, sf):
     """Mann-Whitney tests of the class pairs with normal p, Bonferroni's correction over the pairs and flags."""
     m = mann_whitney(spark, sf).select("g1", "g2", "u", "z")
@@ -286,11 +300,11 @@ def slowest_variant(spark, sf):
 
 
 def describe_targets(spark, sf):
-    t = targets(spark, sf)
-    one = lambda c: F.struct(F.lit(c).alias("column_name"), *[F.round(F.col(f"{c}_{k}"), 5).alias(k) for k in ("mean", "std", "p25", "p50", "p75")])
     cols = ["lt_ab", "lt_ba", "ln_n"]
-    aggs = [x for c in cols for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), *[F.percentile(c, p / 100).alias(f"{c}_p{p}") for p in (25, 50, 75)])]
-    return t.agg(*aggs).select(F.inline(F.array(*[one(c) for c in cols])))
+    t = Scratch(spark, "describe").put(targets(spark, sf).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in cols]))), "long")
+    q = stats.quantiles(t, "v", [0.25, 0.5, 0.75], ["column_name"])
+    g = t.groupBy("column_name").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).join(q, "column_name", "left")
+    return g.select("column_name", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), *[F.round(f"q{i}", 5).alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
 
 
 def histogram(spark, sf):
@@ -304,7 +318,7 @@ def impute_standardise(spark, sf):
     f = table(spark, sf, "graph_features_coarse_t300k")
     m = F.when(~F.isnan("modularity") & F.col("modularity").between(-0.5, 1), F.col("modularity"))
     f = f.select("feature_id", m.alias("m"))
-    med = f.agg(F.percentile("m", 0.5).alias("med"))
+    med = stats.quantiles(f, "m", [0.5]).select(F.col("q0").alias("med"))
     x = f.crossJoin(F.broadcast(med)).select("feature_id", F.coalesce("m", "med").alias("x"))  # one row
     s = x.agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
     return x.crossJoin(F.broadcast(s)).select("feature_id", F.round(F.when(F.col("sd") > 0, (F.col("x") - F.col("mu")) / F.col("sd")).otherwise(0.0), 5).alias("z"))
@@ -432,7 +446,7 @@ def mean_baseline(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     edge_features, node_features, enrich_nodes, sparsify_topk, ablation_pivot, lograte_moments, graph_metrics, message_pass, pooling, micro_report_rows, status_counts, status_rollup, report_lines, relerr_between_loads, micro_vs_coarse,
-    networks_without_report, networks_in_both, ids_in_any, first_of_keys, padded_attributes, sequence_features, sequence_classes, log10_targets, merged_features, numeric_columns, class_descriptives, kruskal, mann_whitney, class_pair_tests, pearson_tests, ols_univariate,
+    networks_without_report, networks_in_both, ids_in_any, first_of_keys, padded_attributes, sequence_features, sequence_classes, log10_targets, merged_features, numeric_columns, class_descriptives, kruskal, mann_whitney, mann_whitney_exact, class_pair_tests, pearson_tests, ols_univariate,
     corr_matrix, corr_topk, variant_class_pivot, best_worst, slowest_variant, describe_targets, histogram, impute_standardise, loocv_ols, loocv_predictions, model_comparison, penalised_models, perm_importance, forward_select, perm_test, bootstrap_ci,
     forest_regression, kmeans_embeddings, node_split, mean_baseline,
 )}

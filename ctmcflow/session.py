@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,16 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir, or the checkpoint folder of the context).
+
+    Where none is set, a local master gets a fresh temporary one; a cluster has no folder that is safe to guess: an error.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     sc = spark.sparkContext._jsc.sc()
     if not sc.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir().get().rstrip("/")
 
 
+_open: list[Scratch] = []
+
+
+def clean() -> None:
+    """Removes the scratch tables of this session; their frames cannot be read afterwards. Also done when Python ends."""
+    while _open:
+        s = _open.pop()
+        try:
+            s._drop(s.root)
+        except Exception:  # the session is gone, and with it the way to the folder
+            return
+
+
+atexit.register(clean)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -35,6 +57,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.made: dict[str, list[str]] = {}
+        _open.append(self)
 
     def put(self, df: DataFrame, name: str, keep: int = 0) -> DataFrame:
         paths = self.made.setdefault(name, [])
