@@ -69,6 +69,19 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     return g.select(*by, "n", *[(F.col(f"_f{i}") + (a - F.floor(a)) * (F.col(f"_c{i}") - F.col(f"_f{i}"))).alias(f"q{i}") for i, a in enumerate(at)])
 
 
+def places(df: DataFrame, value: str, by: list[str], scratch: Scratch | None = None) -> DataFrame:
+    """Adds place (0, 1, ..) and n: where a row stands in its group by ``value``, which must be unique in it, and the group's rows.
+
+    Rows are range-partitioned by group and value, as in ``quantiles``; ``by`` must not be null.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "places")
+    c = scratch.put(df.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()), "ranged")
+    sizes = c.groupBy(*by, "_p").agg(F.count("*").alias("_s"))
+    before = sizes.withColumn("_off", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    j = c.join(before, [*by, "_p"]).join(sizes.groupBy(*by).agg(F.sum("_s").alias("n")), by)
+    return j.withColumn("place", F.col("_off") + F.row_number().over(Window.partitionBy(*by, "_p").orderBy(value)) - 1).drop("_p", "_off")
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, scratch: Scratch | None = None) -> DataFrame:
     """U, rank-biserial correlation 1 - 2U/(n1 n2), z and ties (sum of t^3 - t) for each pair of groups, from value counts.
 
@@ -112,11 +125,10 @@ def mann_whitney_p(tests: DataFrame, small: int = 8) -> DataFrame:
     z = F.try_divide(F.abs(F.col("u") - m / 2) - 0.5, F.sqrt(var))
     normal = F.least(F.lit(1.0), two_sided(F.greatest(z, F.lit(0.0))))
     few = (F.least("n1", "n2") <= small) & (F.col("ties") == 0)
-    return tests.withColumn("p", F.when(few, _exact_p("n1", "n2", "u")).otherwise(normal))
+    return tests.withColumn("p", F.when(few, F.pandas_udf(_exact_u, "double")("n1", "n2", "u")).otherwise(normal))
 
 
-@F.pandas_udf("double")
-def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+def _exact_u(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     """Exact two-sided p of untied U, from the number of orders with each U (a handful of rows, groups of a few values)."""
     out = []
     for a, b, x in zip(n1, n2, u):
@@ -254,6 +266,54 @@ def metrics(y: str, p: str) -> list[Column]:
     return [(1 - F.try_divide(F.sum(e * e), F.var_pop(Y) * F.count(Y))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(Y).alias("n")]
 
 
+def loo_penalised(df: DataFrame, xs: list[str], y: str, models: dict[str, tuple[float, float]]) -> DataFrame:
+    """Leave-one-out metrics of lasso and elastic-net models (name -> alpha, share of the absolute penalty): model, r2, rmse, mae, n.
+
+    Each row is fitted without itself from the sums of products of all rows less its own, in the task that holds it.
+    """
+    g, b, _, _, n = gram(df, xs, y)
+    names = list(models)
+
+    def run(batches):
+        for pdf in batches:
+            x = np.c_[np.ones(len(pdf)), pdf[xs].to_numpy(float)]
+            t, out = pdf[y].to_numpy(float), []
+            for r, v in zip(x, t):
+                gi, bi = g - np.outer(r, r), b - r * v
+                out.append((v, *[float(r @ descend(gi, bi, n - 1, *models[m])) for m in names]))
+            yield pd.DataFrame(out, columns=["_y", *[f"_{i}" for i in range(len(names))]])
+
+    p = df.select(*xs, y).mapInPandas(run, "_y double, " + ", ".join(f"_{i} double" for i in range(len(names))))
+    long = p.select("_y", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_{i}").alias("_loo")) for i, m in enumerate(names)])))
+    return long.groupBy("model").agg(*metrics("_y", "_loo"))
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with df degrees of freedom."""
+    return F.pandas_udf(_student, "double")(t, df)
+
+
+def _student(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p, by the continued fraction of the incomplete beta function."""
+
+    def beta_share(x: float, a: float, b: float) -> float:
+        if x <= 0 or x >= 1:
+            return float(x >= 1)
+        if x > (a + 1) / (a + b + 2):
+            return 1 - beta_share(1 - x, b, a)
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        # evaluated from its tail: terms d1 = -(a+m)(a+b+m)x / ((a+2m)(a+2m+1)), d2 = m(b-m)x / ((a+2m-1)(a+2m))
+        f = 1.0
+        for m in range(400, -1, -1):
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            f = 1 + odd / f
+            if m:
+                f = 1 + m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) / f
+        return front / f
+
+    return pd.Series([None if pd.isna(v) or k <= 0 else beta_share(k / (k + v * v), k / 2, 0.5) for v, k in zip(t, df)], dtype="float64")
+
+
 def forward_selection(df: DataFrame, xs: list[str], y: str, most: int = 4, drop: float = 0.01) -> list[tuple[int, str, float]]:
     """Greedy choice by leave-one-out R^2; the step that loses more than ``drop`` is the last.
 

@@ -358,6 +358,94 @@ def model_comparison(spark, sf):
     return out.orderBy(F.desc_nulls_last("r2"), "n_features", "alpha")
 
 
+def model_zoo(spark, sf):
+    """All models of one table, best first: fixed linear, ridge, lasso and elastic-net models by leave-one-out, those that choose their
+    penalty and the trees over five folds; protocol says which."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    s, d = design(spark, sf, "zoo")
+    cols = ["model", "protocol", "r2", "rmse", "mae", "n"]
+    parts = []
+    for name, alpha in (("ols", 0.0), ("ridge_1", 1.0), ("ridge_10", 10.0)):
+        parts.append(stats.loo(d, _XS, "lt_ab", alpha).agg(*stats.metrics("lt_ab", "loo")).withColumns({"model": F.lit(name), "protocol": F.lit("loo")}))
+    grid = [10 ** (-3 + 6 * i / 19) for i in range(20)]
+    tried = spark.createDataFrame([], "alpha double, r2 double, rmse double, mae double, n long")
+    for a in grid:
+        tried = tried.unionByName(stats.loo(d, _XS, "lt_ab", a).agg(*stats.metrics("lt_ab", "loo")).withColumn("alpha", F.lit(a)))
+    parts.append(tried.orderBy(F.desc_nulls_last("r2"), "alpha").limit(1).withColumns({"model": F.lit("ridge_cv"), "protocol": F.lit("loo")}))
+    parts.append(stats.loo_penalised(d, _XS, "lt_ab", {"lasso_01": (0.1, 1.0), "lasso_1": (1.0, 1.0), "elastic_net": (0.5, 0.5)}).withColumn("protocol", F.lit("loo")))
+    cv = spark.createDataFrame(stats.penalised(d, _XS, "lt_ab", NET, {k: PENALISED[k] for k in ("lasso_cv", "elastic_net_cv")}), "model string, alpha double, l1_ratio double, r2 double, rmse double, n long, nonzero int")
+    parts.append(cv.withColumns({"protocol": F.lit("five folds"), "mae": F.lit(None).cast("double")}))
+    v = s.put(VectorAssembler(inputCols=_XS, outputCol="features").transform(d).withColumn("fold", F.pmod(F.xxhash64(NET), F.lit(5))), "folds")
+    for name, m in (("random_forest", RandomForestRegressor(labelCol="lt_ab", numTrees=100, maxDepth=5, seed=42)), ("gradient_boosting", GBTRegressor(labelCol="lt_ab", maxIter=50, maxDepth=3, stepSize=0.1, seed=42))):
+        held = [m.fit(v.filter(F.col("fold") != k)).transform(v.filter(F.col("fold") == k)).select("lt_ab", "prediction") for k in range(5)] if v.limit(1).count() else []
+        for h in held[1:]:
+            held[0] = held[0].unionByName(h)
+        if held:
+            parts.append(held[0].agg(*stats.metrics("lt_ab", "prediction")).withColumns({"model": F.lit(name), "protocol": F.lit("five folds")}))
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out.orderBy(F.desc_nulls_last("r2"), "model")
+
+
+def impute_per_fold(spark, sf):
+    """Modularity of each fold with missing values set to the median of the other folds and scaled by their mean and deviation."""
+    f = table(spark, sf, "graph_features_coarse_t300k")
+    m = F.when(~F.isnan("modularity") & F.col("modularity").between(-0.5, 1), F.col("modularity"))
+    f = Scratch(spark, "folds").put(f.select("feature_id", (F.col("feature_id") % 5).alias("fold"), m.alias("m")), "rows")
+    others = f.select("m", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in range(5)]), lambda k: k != F.col("fold"))).alias("fold"))
+    med = stats.quantiles(others, "m", [0.5], ["fold"]).select("fold", F.col("q0").alias("med"))
+    fit = others.join(med, "fold").groupBy("fold", "med").agg(F.avg(F.coalesce("m", "med")).alias("mu"), F.stddev_pop(F.coalesce("m", "med")).alias("sd"))
+    z = (F.coalesce("m", "med") - F.col("mu")) / F.col("sd")
+    return f.join(F.broadcast(fit), "fold").select("feature_id", "fold", F.round(F.when(F.col("sd") > 0, z).otherwise(0.0), 5).alias("z"))  # one row per fold
+
+
+def pearson_t(spark, sf):
+    """Pearson r of each regressor with the target, t = r sqrt((n - 2) / (1 - r^2)) and its two-sided p."""
+    t = targets(spark, sf).dropna(subset=["lt_ab", *_XS])
+    a = t.agg(F.count("*").alias("n"), *[F.corr("lt_ab", x).alias(x) for x in _XS])
+    r = a.select("n", F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("r")) for x in _XS])))
+    r = r.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    return r.select("feature", "n", "r", "t", stats.student_p(F.col("t"), (F.col("n") - 2).cast("double")).alias("p"))
+
+
+def ols_univariate_all(spark, sf):
+    """The target on each regressor alone: slope, intercept, R^2."""
+    t = targets(spark, sf).dropna(subset=["lt_ab", *_XS])
+    a = t.agg(F.count("*").alias("n"), *[f("lt_ab", x).alias(f"{k}_{x}") for x in _XS for k, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("r2", F.regr_r2))])
+    return a.select("n", F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), *[F.round(f"{k}_{x}", 5).alias(k) for k in ("slope", "intercept", "r2")]) for x in _XS])))
+
+
+def _split_exact(spark, sf) -> DataFrame:
+    n = node_features(spark, sf)
+    n = n.withColumn("h", (F.col("node") * 7919) % 1000003 + F.col("node") / 1e9)  # mixed order, ties by number
+    p = stats.places(n, "h", [NET])
+    count = F.greatest(F.lit(1), F.least(F.floor(0.8 * F.col("n")), F.col("n") - 1))
+    return p.withColumn("split", F.when((F.col("is_a") + F.col("is_b") > 0) | (F.col("place") < count), "train").otherwise("test"))
+
+
+def node_split_exact(spark, sf):
+    """80/20 split of each network's states by place in a mixed order: int(0.8 n) of them, at least one and not all, and A and B always, train."""
+    return _split_exact(spark, sf).select(NET, "node", "split")
+
+
+def node_baselines(spark, sf):
+    """Mean, linear and ridge models of the mean outgoing log-rate from the other node values, pooled over networks: held-out metrics."""
+    xs = ["n_in", "in_mean", "in_max", "deg_frac"]
+    s = Scratch(spark, "nodes")
+    d = s.put(_split_exact(spark, sf).filter("n_out > 0").select("split", "out_mean", *[F.col(x).cast("double").alias(x) for x in xs]), "rows")
+    train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
+    g, b, _, total, n = stats.gram(train, xs, "out_mean")
+    out = test.withColumn("p", F.lit(float(total / n) if n else None).cast("double")).agg(*stats.metrics("out_mean", "p")).withColumn("model", F.lit("mean"))
+    for name, alpha in (("ols", 0.0), ("ridge", 1.0)):
+        beta = stats._inverse(g, alpha) @ b
+        pred = F.lit(float(beta[0])) + sum((F.lit(float(w)) * F.col(x) for w, x in zip(beta[1:], xs)), F.lit(0.0))
+        out = out.unionByName(test.withColumn("p", pred).agg(*stats.metrics("out_mean", "p")).withColumn("model", F.lit(name)))
+    return out.select("model", *[F.round(c, 5).alias(c) for c in ("r2", "rmse", "mae")], "n")
+
+
 # name -> (alphas, shares of the absolute penalty)
 PENALISED = {
     "lasso_01": ([0.1], [1.0]), "lasso_1": ([1.0], [1.0]), "lasso_cv": ([10 ** (k / 4) for k in range(-12, 5)], [1.0]),
@@ -448,7 +536,7 @@ QUERIES = {f.__name__: f for f in (
     edge_features, node_features, enrich_nodes, sparsify_topk, ablation_pivot, lograte_moments, graph_metrics, message_pass, pooling, micro_report_rows, status_counts, status_rollup, report_lines, relerr_between_loads, micro_vs_coarse,
     networks_without_report, networks_in_both, ids_in_any, first_of_keys, padded_attributes, sequence_features, sequence_classes, log10_targets, merged_features, numeric_columns, class_descriptives, kruskal, mann_whitney, mann_whitney_exact, class_pair_tests, pearson_tests, ols_univariate,
     corr_matrix, corr_topk, variant_class_pivot, best_worst, slowest_variant, describe_targets, histogram, impute_standardise, loocv_ols, loocv_predictions, model_comparison, penalised_models, perm_importance, forward_select, perm_test, bootstrap_ci,
-    forest_regression, kmeans_embeddings, node_split, mean_baseline,
+    forest_regression, kmeans_embeddings, node_split, mean_baseline, model_zoo, impute_per_fold, pearson_t, ols_univariate_all, node_split_exact, node_baselines,
 )}
 
 _E = """WITH e AS MATERIALIZED (SELECT network_id, edge_index[1] AS src, edge_index[2] AS dst, MAX(CAST(edge_attr[1] AS DOUBLE)) AS lr, MAX(CASE WHEN NOT isnan(edge_attr[3]) THEN CAST(edge_attr[3] AS DOUBLE) END) AS b FROM graph_edges
@@ -540,3 +628,12 @@ b AS (SELECT *, LEAST(1.0, p * pairs) AS pb FROM p) SELECT g1, g2, u, ROUND(p, 6
 _COMPLETE = "FROM t WHERE lt_ab IS NOT NULL AND " + " AND ".join(f"{x} IS NOT NULL" for x in _XS)
 _RS = " UNION ALL ".join(f"SELECT '{x}' AS feature, COUNT(*) AS n, CORR(lt_ab, {x}) AS r {_COMPLETE}" for x in _XS)
 SQL["pearson_tests"] = _T + f", rs AS ({_RS}) SELECT feature, n, ROUND(r, 5) AS r, ROUND({_two_sided_sql('(0.5 * LN((1 + r) / (1 - r)) * SQRT(n - 3))')}, 5) AS p FROM rs"
+SQL["impute_per_fold"] = """WITH f AS (SELECT feature_id, feature_id % 5 AS fold, CASE WHEN NOT isnan(modularity) AND modularity BETWEEN -0.5 AND 1 THEN modularity END AS m FROM graph_features_coarse_t300k),
+o AS (SELECT k.fold, f.m FROM f JOIN (SELECT DISTINCT fold FROM f) k ON k.fold <> f.fold), q AS (SELECT fold, quantile_cont(m, 0.5) AS med FROM o GROUP BY 1), s AS (SELECT o.fold, ANY_VALUE(q.med) AS med, AVG(COALESCE(m, q.med)) AS mu, STDDEV_POP(COALESCE(m, q.med)) AS sd FROM o JOIN q USING (fold) GROUP BY 1)
+SELECT feature_id, fold, ROUND(CASE WHEN sd > 0 THEN (COALESCE(m, med) - mu) / sd ELSE 0 END, 5) AS z FROM f JOIN s USING (fold)"""
+SQL["ols_univariate_all"] = _T + ", d AS (SELECT * " + _COMPLETE + ") " + " UNION ALL ".join(f"SELECT '{x}' AS feature, COUNT(*) AS n, ROUND(regr_slope(lt_ab, {x}), 5) AS slope, ROUND(regr_intercept(lt_ab, {x}), 5) AS intercept, ROUND(regr_r2(lt_ab, {x}), 5) AS r2 FROM d" for x in _XS)
+_SPLIT = ", sp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY network_id ORDER BY (node * 7919) % 1000003, node) - 1 AS place, COUNT(*) OVER (PARTITION BY network_id) AS n FROM nf), se AS (SELECT *, CASE WHEN is_a + is_b > 0 OR place < GREATEST(1, LEAST(FLOOR(0.8 * n), n - 1)) THEN 'train' ELSE 'test' END AS split FROM sp)"
+SQL["node_split_exact"] = _E + _NODE + _SPLIT + " SELECT network_id, node, split FROM se"
+SQL["first_of_keys"] = """WITH p AS (SELECT file_id, line_no, record, CASE WHEN json_valid(record) AND json_type(record) = 'OBJECT' THEN record END AS j FROM raw_kinetics),
+v AS (SELECT file_id, line_no, COALESCE(TRY_CAST(trim(j ->> '$."MFPT_AB"') AS DOUBLE), TRY_CAST(trim(j ->> '$."MFPTAB"') AS DOUBLE), TRY_CAST(trim(j ->> '$."mfpt_ab"') AS DOUBLE)) AS v FROM p)
+SELECT file_id, line_no, ROUND(log10(v), 6) AS log10_mfpt FROM v WHERE v > 0 AND NOT isnan(v) AND v < 1e300"""

@@ -18,6 +18,17 @@ def write_lines(df: DataFrame, path: str, columns: list[str], order: list[str],
     df.repartition("network_id").sortWithinPartitions("network_id", *order).select("network_id", line.alias("value")).write.partitionBy("network_id").mode(mode).text(path)
 
 
+def write_keep_lists(kept: DataFrame, path: str, overwrite: bool = False) -> None:
+    """kept(network_id, cut, node): a text folder per network and cut label with the kept numbers in order; a list that is there stays unless told."""
+    out = kept.select("network_id", cut_label(F.col("cut")).alias("label"), F.col("node").cast("string").alias("value"), "node")
+    out.repartition("network_id", "label").sortWithinPartitions("network_id", "label", "node").drop("node").write.partitionBy("network_id", "label").mode("overwrite" if overwrite else "ignore").text(path)
+
+
+def write_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Metrics rows as JSON, one folder per run (column ``run``)."""
+    df.write.partitionBy("run").mode(mode).json(path)
+
+
 def write_by_network(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet partitioned by network; a large network is spread over files by a salt, a small one is one file."""
     df.repartition("network_id", F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.partitionBy("network_id").mode(mode).parquet(path)

@@ -53,3 +53,18 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     f = f.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
     g = f.groupBy("folder").agg(F.collect_set("name").alias("names")).filter("array_contains(names, 'min.data') AND array_contains(names, 'ts.data')")
     return g.select(F.regexp_replace(F.regexp_extract("folder", "([^/]+)$", 1), "_nocap$", "").alias("network_id"), "folder")
+
+
+def scan_first_ids(spark: SparkSession, path: str) -> DataFrame:
+    """network_id, min_id: the first integer of every line; blank lines, comments and lines that start otherwise are skipped."""
+    t = _network(_lines(spark, path)).withColumn("min_id", F.regexp_extract(F.trim("value"), "^([-+]?\\d+)(?=\\s|$)", 1).try_cast("long"))
+    return t.filter("min_id IS NOT NULL").select("network_id", "min_id")
+
+
+def discover_tagged(spark: SparkSession, root: str, only_t: float | None = None) -> DataFrame:
+    """network_id, t_k, folder of every folder markov_T<kelvin>K below root that holds a file; only those of one temperature where given."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    f = f.select(F.regexp_extract("path", "^(.*/(?:tag=)?markov_T[0-9.p]+K)/", 1).alias("folder")).filter("folder <> ''").distinct()
+    t = F.replace(F.regexp_extract("folder", "markov_T([0-9.p]+)K$", 1), F.lit("p"), F.lit(".")).try_cast("double")
+    f = f.withColumn("t_k", t).withColumn("network_id", F.regexp_replace(F.try_url_decode(F.regexp_extract("folder", "(?:network_id=)?([^/=]+)/(?:tag=)?markov_T[^/]+$", 1)), "_nocap$", ""))
+    return (f if only_t is None else f.filter(F.abs(F.col("t_k") - only_t) < 1e-9)).select("network_id", "t_k", "folder")
