@@ -48,61 +48,53 @@ def start(x: np.ndarray, levels: list[int], k: int, center: np.ndarray, scale: n
     return Mixture(np.full(k, 1.0 / k), np.array(at), np.repeat(np.eye(d)[None], k, 0), cats, center, scale)
 
 
-def expect(m: Mixture, x: np.ndarray, c: np.ndarray):
-    """Responsibilities, conditional means and added covariances by component; log-likelihood. c: -1 is missing."""
-    n, d = x.shape
-    k = len(m.weight)
+def blocks(m: Mixture, x: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
+    """Rows with the same numbers missing, all components at once: (rows, responsibilities [rows, k], completed rows [k, rows, d],
+    missing places, their conditional covariances [k, u, u], log-likelihood). c: -1 is missing."""
     z = (x - m.center) / m.scale
     seen = np.isfinite(z)
-    logp = np.tile(np.log(m.weight), (n, 1))
-    full = np.repeat(np.where(seen, z, 0.0)[:, None, :], k, 1)
-    patterns, inverse = np.unique(seen, axis=0, return_inverse=True)
-    inverse = inverse.reshape(-1)
-    added = {}
-    for p, pat in enumerate(patterns):
-        rows = np.flatnonzero(inverse == p)
-        o, u = np.flatnonzero(pat), np.flatnonzero(~pat)
-        for j in range(k):
-            S = m.cov[j]
-            if len(o):
-                L = np.linalg.cholesky(S[np.ix_(o, o)])
-                y = np.linalg.solve(L, (z[np.ix_(rows, o)] - m.mean[j, o]).T)
-                logp[rows, j] -= 0.5 * (y**2).sum(0) + np.log(np.diag(L)).sum() + 0.5 * len(o) * np.log(2 * np.pi)
+    logs = [np.log(t) for t in m.cats]
+    code = seen @ (1 << np.arange(x.shape[1]))
+    for p in np.unique(code):
+        rows = np.flatnonzero(code == p)
+        o, u = np.flatnonzero(seen[rows[0]]), np.flatnonzero(~seen[rows[0]])
+        logp = np.tile(np.log(m.weight)[:, None], (1, len(rows)))
+        full = np.empty((len(m.weight), len(rows), x.shape[1]))
+        full[:, :, u] = m.mean[:, None, u]
+        extra = m.cov[:, u[:, None], u]
+        if len(o):
+            full[:, :, o] = z[rows][:, o]
+            inv = np.linalg.inv(np.linalg.cholesky(m.cov[:, o[:, None], o]))
+            y = (full[:, :, o] - m.mean[:, None, o]) @ inv.transpose(0, 2, 1)
+            logp += np.log(np.diagonal(inv, axis1=1, axis2=2)).sum(1)[:, None] - 0.5 * (y * y).sum(2) - 0.5 * len(o) * np.log(2 * np.pi)
             if len(u):
-                if len(o):
-                    w = np.linalg.solve(S[np.ix_(o, o)], S[np.ix_(o, u)])
-                    full[np.ix_(rows, [j], u)] = (m.mean[j, u] + (z[np.ix_(rows, o)] - m.mean[j, o]) @ w)[:, None, :]
-                    added[p, j] = (u, S[np.ix_(u, u)] - S[np.ix_(u, o)] @ w)
-                else:
-                    full[np.ix_(rows, [j], u)] = m.mean[j, u]
-                    added[p, j] = (u, S[np.ix_(u, u)])
-    for q, theta in enumerate(m.cats):
-        known = c[:, q] >= 0
-        logp[known] += np.log(theta[:, c[known, q]]).T
-    top = logp.max(1, keepdims=True)
-    r = np.exp(logp - top)
-    s = r.sum(1, keepdims=True)
-    return r / s, full, added, inverse, float((top + np.log(s)).sum())
+                w = inv @ m.cov[:, o[:, None], u]
+                full[:, :, u] += y @ w
+                extra = extra - w.transpose(0, 2, 1) @ w
+        for q, theta in enumerate(logs):
+            known = np.flatnonzero(c[rows, q] >= 0)
+            logp[:, known] += theta[:, c[rows[known], q]]
+        top = logp.max(0)
+        r = np.exp(logp - top)
+        total = r.sum(0)
+        yield rows, (r / total).T, full, u, extra, float((top + np.log(total)).sum())
 
 
 def statistics(m: Mixture, x: np.ndarray, c: np.ndarray) -> np.ndarray:
     k, d = m.mean.shape
-    if not len(x):
-        return np.zeros(1 + k * (1 + d + d * d) + sum(t.size for t in m.cats))
-    r, full, added, inverse, ll = expect(m, x, c)
-    s0 = r.sum(0)
-    s1 = np.einsum("nk,nkd->kd", r, full)
-    s2 = np.stack([(full[:, j] * r[:, j, None]).T @ full[:, j] for j in range(k)])
-    for (p, j), (u, extra) in added.items():
-        s2[np.ix_([j], u, u)] += r[inverse == p, j].sum() * extra
-    parts = [np.array([ll]), s0, s1.ravel(), s2.ravel()]
-    for q, theta in enumerate(m.cats):
-        t = np.zeros_like(theta)
-        known = c[:, q] >= 0
-        for level in range(theta.shape[1]):
-            t[:, level] = r[known & (c[:, q] == level)].sum(0)
-        parts.append(t.ravel())
-    return np.concatenate(parts)
+    ll, s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    tables = [np.zeros_like(t) for t in m.cats]
+    for rows, r, full, u, extra, more in blocks(m, x, c):
+        ll += more
+        s0 += r.sum(0)
+        part = full * r.T[:, :, None]
+        s1 += part.sum(1)
+        s2 += part.transpose(0, 2, 1) @ full
+        s2[:, u[:, None], u] += r.sum(0)[:, None, None] * extra
+        for q, t in enumerate(tables):
+            known = np.flatnonzero(c[rows, q] >= 0)
+            t += r[known].T @ np.eye(t.shape[1])[c[rows[known], q]]
+    return np.concatenate([np.array([ll]), s0, s1.ravel(), s2.ravel(), *[t.ravel() for t in tables]])
 
 
 def maximise(m: Mixture, s: np.ndarray, ridge: float = 1e-2) -> Mixture:
@@ -167,8 +159,9 @@ def conditional(df: DataFrame, m: Mixture, numbers: list[str], cats: list[str])
             if not len(pdf):
                 continue
             x, c = _arrays(pdf, numbers, cats)
-            r, full, *_ = expect(m, x, c)
-            est = np.einsum("nk,nkd->nd", r, full) * m.scale + m.center
+            r, est = np.empty((len(x), len(m.weight))), np.empty_like(x)
+            for rows, part, full, *_ in blocks(m, x, c):
+                r[rows], est[rows] = part, np.einsum("nk,knd->nd", part, full) * m.scale + m.center
             for i, name in enumerate(numbers):
                 pdf[f"x_{name}"] = np.where(np.isfinite(x[:, i]), x[:, i], est[:, i])
             for q, name in enumerate(cats):
