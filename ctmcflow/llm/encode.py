@@ -86,6 +86,8 @@ class Transducer:
         """Whether BPE leaves token b whole right after token a (a = -1: at the start)."""
         key = (a, b)
         if key not in self.fits:
+            if len(self.fits) > 1_000_000:
+                self.fits.clear()
             left = self.bytes_of[a] if a >= 0 else b""
             self.fits[key] = self.merge(left + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
         return self.fits[key]

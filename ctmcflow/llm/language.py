@@ -41,8 +41,8 @@ LEAST_COUNT = 3
 NEAR = 0.2  # an n-gram belongs to every language with at least this part of its highest rate
 CHANGE = 3.0  # price of a change of language, in words of clear evidence
 PASSAGE = 8
-LEAST_CONFIDENCE = 0.05  # below it a text too short to tell does not refute its label
-STRETCH = 20_000  # words of one text whose path is sought at once; passages are joined across stretches
+LEAST_CONFIDENCE = 0.05  # below it, and with less than LEAST_EVIDENCE, a text is too short to tell and does not refute its label
+LEAST_EVIDENCE = 1.0  # evidence, in clear words, that the language has over the runner-up; it grows with the text
 CELLS = 200_000  # words of a batch of texts handled together
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*|\p{N}+")
 
@@ -74,6 +74,8 @@ class Filters:
     """Bit-sliced Bloom filter: slot -> one bit per language."""
 
     def __init__(self, slots: np.ndarray):
+        if len(LANGUAGES) > 8 * slots.itemsize:
+            raise ValueError(f"a slot of {slots.dtype} holds {8 * slots.itemsize} languages")
         self.slots = slots
         fill = np.array([float(((slots >> b) & 1).mean()) for b in range(len(LANGUAGES))])
         self.chance = fill**HASHES
@@ -139,19 +141,17 @@ def split_words(text: str) -> list[str]:
 
 def paths(scores: list[np.ndarray], change: float = CHANGE) -> list[np.ndarray]:
     """Best language of every word, for many texts at once; texts of like length are handled together."""
-    pieces = [(i, a) for i, s in enumerate(scores) for a in range(0, len(s), STRETCH)]
-    cut = {(i, a): scores[i][a : a + STRETCH] for i, a in pieces}
-    pieces.sort(key=lambda k: len(cut[k]))
-    found: dict[tuple[int, int], np.ndarray] = {}
+    order = sorted((i for i, s in enumerate(scores) if len(s)), key=lambda i: len(scores[i]))
+    found = [np.empty(0, int)] * len(scores)
     at = 0
-    while at < len(pieces):
+    while at < len(order):
         end = at + 1
-        while end < len(pieces) and (end - at + 1) * len(cut[pieces[end]]) <= CELLS:
+        while end < len(order) and (end - at + 1) * len(scores[order[end]]) <= CELLS:
             end += 1
-        part = pieces[at:end]
-        found.update(zip(part, _batch_paths([cut[k] for k in part], change)))
+        for i, p in zip(order[at:end], _batch_paths([scores[i] for i in order[at:end]], change)):
+            found[i] = p
         at = end
-    return [np.concatenate([found[i, a] for a in range(0, len(s), STRETCH)]) if len(s) else np.empty(0, int) for i, s in enumerate(scores)]
+    return found
 
 
 def _batch_paths(part: list[np.ndarray], change: float) -> list[np.ndarray]:
@@ -175,15 +175,15 @@ def _batch_paths(part: list[np.ndarray], change: float) -> list[np.ndarray]:
     return [path[r, : len(x)] for r, x in enumerate(part)]
 
 
-def _confidence(total: np.ndarray, best: int) -> float:
-    """Share of the evidence above the mean that the best language has over the runner-up, from 0 to 1."""
+def _confidence(total: np.ndarray, best: int) -> tuple[float, float]:
+    """Share of the evidence above the mean that the best language has over the runner-up, from 0 to 1, and that evidence itself."""
     rest = np.delete(total, best)
     top = float(total[best] - rest.max()) if len(rest) else 0.0
-    return round(max(0.0, min(1.0, top / max(1e-9, abs(total[best]) + abs(rest.max())))), 4)
+    return round(max(0.0, min(1.0, top / max(1e-9, abs(total[best]) + abs(rest.max())))), 4), round(top, 4)
 
 
 def passages(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> DataFrame:
-    """One row per passage: doc_id, seg, lang, n_words, confidence, main (the document's language), words (of the document).
+    """One row per passage: doc_id, seg, lang, n_words, confidence, main (the document's language), words (of the document), evidence (over the runner-up).
 
     Passages are maximal stretches of one language; those under ``passage`` words are taken into the main
     language. Texts without letters have one row with null lang and confidence 0; null texts likewise.
@@ -199,7 +199,7 @@ def passages(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> DataFra
             for doc, t, s, p in zip(pdf["doc_id"], texts, scores, paths(scores)):
                 letters = sum(not w.isdigit() for w in t)
                 if not letters or not s.any():
-                    out.append((doc, 0, None, len(t), 0.0, None, letters))
+                    out.append((doc, 0, None, len(t), 0.0, None, letters, 0.0))
                     continue
                 cut = np.r_[0, 1 + np.flatnonzero(p[1:] != p[:-1]), len(t)]
                 segs = [(int(a), int(z), int(p[a])) for a, z in zip(cut[:-1], cut[1:])]
@@ -216,11 +216,12 @@ def passages(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> DataFra
                     else:
                         merged.append([a, z, lang])
                 for n, (a, z, lang) in enumerate(merged):
-                    out.append((doc, n, LANGUAGES[lang], z - a, _confidence(s[a:z].sum(0), lang), LANGUAGES[main], letters))
+                    sure, evidence = _confidence(s[a:z].sum(0), lang)
+                    out.append((doc, n, LANGUAGES[lang], z - a, sure, LANGUAGES[main], letters, evidence))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "seg", "lang", "n_words", "confidence", "main", "words"])
+                yield pd.DataFrame(out, columns=["doc_id", "seg", "lang", "n_words", "confidence", "main", "words", "evidence"])
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, seg int, lang string, n_words int, confidence double, main string, words int")
+    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, seg int, lang string, n_words int, confidence double, main string, words int, evidence double")
 
 
 def document_languages(df: DataFrame, filters: Filters) -> DataFrame:
@@ -233,12 +234,12 @@ def wrong_labels(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> Dat
     """doc_id, lang: the languages of every document whose label is missing, of another language, or one of several.
 
     A language counts beside the main one from ``passage`` words in one stretch. Texts without words (also those of
-    emoji and lone combining marks) are no case, nor are texts of one language that their label contradicts with a
-    confidence under ``LEAST_CONFIDENCE``.
+    emoji and lone combining marks) are no case, nor are texts of one language that contradict their label with a
+    confidence under ``LEAST_CONFIDENCE`` and less than ``LEAST_EVIDENCE``.
     """
     p = passages(df, filters, passage).filter("lang IS NOT NULL")
     # a document has at most six languages
-    many = p.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("main").alias("main"), F.max("confidence").alias("confidence"))
+    many = p.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.max("main").alias("main"), F.max("confidence").alias("confidence"), F.max("evidence").alias("evidence"))
     told = df.select("doc_id", label_code(F.col("lang")).alias("told"))
-    case = many.join(told, "doc_id").filter(f"size(langs) > 1 OR told IS NULL OR (told <> main AND confidence >= {LEAST_CONFIDENCE})")
+    case = many.join(told, "doc_id").filter(f"size(langs) > 1 OR told IS NULL OR (told <> main AND (confidence >= {LEAST_CONFIDENCE} OR evidence >= {LEAST_EVIDENCE}))")
     return case.select("doc_id", F.explode("langs").alias("lang")).distinct()
