@@ -49,8 +49,12 @@ def start(x: np.ndarray, levels: list[int], k: int, center: np.ndarray, scale: n
 
 
 def blocks(m: Mixture, x: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
-    """Rows with the same numbers missing, all components at once: (rows, responsibilities [rows, k], completed rows [k, rows, d],
-    missing places, their conditional covariances [k, u, u], log-likelihood). c: -1 is missing."""
+    """Rows with the same numbers missing: (rows, responsibilities [rows, k], terms [rows, t], log-likelihood, o, u, w, b, extra).
+
+    Terms are 1, the known numbers and their products, so log-densities of all components are one product of matrices, and so are
+    the sums that EM needs. o and u are the known and missing places; a missing number is z[o] w + b by component, with
+    covariance extra. c: -1 is missing.
+    """
     z = (x - m.center) / m.scale
     seen = np.isfinite(z)
     logs = [np.log(t) for t in m.cats]
@@ -58,42 +62,52 @@ def blocks(m: Mixture, x: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
     for p in np.unique(code):
         rows = np.flatnonzero(code == p)
         o, u = np.flatnonzero(seen[rows[0]]), np.flatnonzero(~seen[rows[0]])
-        logp = np.tile(np.log(m.weight)[:, None], (1, len(rows)))
-        full = np.empty((len(m.weight), len(rows), x.shape[1]))
-        full[:, :, u] = m.mean[:, None, u]
-        extra = m.cov[:, u[:, None], u]
-        if len(o):
-            full[:, :, o] = z[rows][:, o]
-            inv = np.linalg.inv(np.linalg.cholesky(m.cov[:, o[:, None], o]))
-            y = (full[:, :, o] - m.mean[:, None, o]) @ inv.transpose(0, 2, 1)
-            logp += np.log(np.diagonal(inv, axis1=1, axis2=2)).sum(1)[:, None] - 0.5 * (y * y).sum(2) - 0.5 * len(o) * np.log(2 * np.pi)
-            if len(u):
-                w = inv @ m.cov[:, o[:, None], u]
-                full[:, :, u] += y @ w
-                extra = extra - w.transpose(0, 2, 1) @ w
+        d = len(o)
+        i, j = np.triu_indices(d)
+        zo = z[rows][:, o]
+        terms = np.concatenate([np.ones((len(rows), 1)), zo, zo[:, i] * zo[:, j]], 1)
+        mean = m.mean[:, o]
+        inv = np.linalg.inv(m.cov[:, o[:, None], o]) if d else np.empty((len(m.weight), 0, 0))
+        lin = np.einsum("kij,kj->ki", inv, mean)
+        const = np.log(m.weight) - 0.5 * (mean * lin).sum(1) - 0.5 * d * np.log(2 * np.pi)
+        if d:
+            const = const + 0.5 * np.linalg.slogdet(inv)[1]
+        logp = terms @ np.concatenate([const[:, None], lin, -inv[:, i, j] * np.where(i == j, 0.5, 1.0)], 1).T
         for q, theta in enumerate(logs):
             known = np.flatnonzero(c[rows, q] >= 0)
-            logp[:, known] += theta[:, c[rows[known], q]]
-        top = logp.max(0)
+            logp[known] += theta[:, c[rows[known], q]].T
+        top = logp.max(1, keepdims=True)
         r = np.exp(logp - top)
-        total = r.sum(0)
-        yield rows, (r / total).T, full, u, extra, float((top + np.log(total)).sum())
+        total = r.sum(1, keepdims=True)
+        cross = m.cov[:, o[:, None], u]
+        w = inv @ cross
+        b = m.mean[:, u] - np.einsum("ko,kou->ku", mean, w)
+        extra = m.cov[:, u[:, None], u] - cross.transpose(0, 2, 1) @ w
+        yield rows, r / total, terms, float((top + np.log(total)).sum()), o, u, w, b, extra
 
 
 def statistics(m: Mixture, x: np.ndarray, c: np.ndarray) -> np.ndarray:
     k, d = m.mean.shape
     ll, s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
     tables = [np.zeros_like(t) for t in m.cats]
-    for rows, r, full, u, extra, more in blocks(m, x, c):
+    for rows, r, terms, more, o, u, w, b, extra in blocks(m, x, c):
         ll += more
-        s0 += r.sum(0)
-        part = full * r.T[:, :, None]
-        s1 += part.sum(1)
-        s2 += part.transpose(0, 2, 1) @ full
-        s2[:, u[:, None], u] += r.sum(0)[:, None, None] * extra
-        for q, t in enumerate(tables):
+        t = r.T @ terms
+        n, t1, t2 = t[:, 0], t[:, 1 : 1 + len(o)], np.zeros((k, len(o), len(o)))
+        i, j = np.triu_indices(len(o))
+        t2[:, i, j] = t2[:, j, i] = t[:, 1 + len(o) :]
+        t1u = np.einsum("ko,kou->ku", t1, w)
+        ou = t2 @ w + t1[:, :, None] * b[:, None, :]
+        s0 += n
+        s1[:, o] += t1
+        s1[:, u] += t1u + n[:, None] * b
+        s2[:, o[:, None], o] += t2
+        s2[:, o[:, None], u] += ou
+        s2[:, u[:, None], o] += ou.transpose(0, 2, 1)
+        s2[:, u[:, None], u] += w.transpose(0, 2, 1) @ ou + b[:, :, None] * (t1u + n[:, None] * b)[:, None, :] + n[:, None, None] * extra
+        for q, table in enumerate(tables):
             known = np.flatnonzero(c[rows, q] >= 0)
-            t += r[known].T @ np.eye(t.shape[1])[c[rows[known], q]]
+            table += r[known].T @ np.eye(table.shape[1])[c[rows[known], q]]
     return np.concatenate([np.array([ll]), s0, s1.ravel(), s2.ravel(), *[t.ravel() for t in tables]])
 
 
@@ -160,8 +174,11 @@ def conditional(df: DataFrame, m: Mixture, numbers: list[str], cats: list[str])
                 continue
             x, c = _arrays(pdf, numbers, cats)
             r, est = np.empty((len(x), len(m.weight))), np.empty_like(x)
-            for rows, part, full, *_ in blocks(m, x, c):
-                r[rows], est[rows] = part, np.einsum("nk,knd->nd", part, full) * m.scale + m.center
+            for rows, part, terms, _, o, u, w, b, _ in blocks(m, x, c):
+                r[rows] = part
+                zo = terms[:, 1 : 1 + len(o)]
+                est[np.ix_(rows, u)] = np.einsum("nk,no,kou->nu", part, zo, w, optimize=True) + part @ b
+            est = est * m.scale + m.center
             for i, name in enumerate(numbers):
                 pdf[f"x_{name}"] = np.where(np.isfinite(x[:, i]), x[:, i], est[:, i])
             for q, name in enumerate(cats):
