@@ -37,8 +37,8 @@ def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame, by: list[st
         if hooks.limit(1).count() == 0:
             return labels
         while True:
-            nxt = hooks.select(*by, F.col("old").alias("new"), F.col("new").alias("further"))
-            jumped = hooks.join(nxt, [*by, "new"], "left").select(*by, "old", F.coalesce("further", "new").alias("new"), F.col("further").isNotNull().alias("moved"))
+            # two jumps in one table: four times the way
+            jumped = _jump(_jump(hooks.withColumn("moved", F.lit(False)), by), by)
             jumped = scratch.put(jumped, "cc_jump", keep=2)
             hooks = jumped.drop("moved")
             if jumped.filter("moved").limit(1).count() == 0:
@@ -47,6 +47,12 @@ def components(scratch: Scratch, nodes: DataFrame, edges: DataFrame, by: list[st
         labels = scratch.put(labels, "cc_labels", keep=2)
 
 
+def _jump(hooks: DataFrame, by: list[str]) -> DataFrame:
+    """Hooks (old, new, moved) followed once more; moved says whether any of the ways so far went on."""
+    nxt = hooks.select(*by, F.col("old").alias("new"), F.col("new").alias("further"))
+    return hooks.join(nxt, [*by, "new"], "left").select(*by, "old", F.coalesce("further", "new").alias("new"), (F.col("moved") | F.col("further").isNotNull()).alias("moved"))
+
+
 def component_sizes(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or [NET]
     size = labels.groupBy(*by, "comp").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ctmcflow.operators import ctmc, graph, reduce, stats
 from ctmcflow.operators.graph import NET
-from ctmcflow.session import Scratch
+from ctmcflow.session import Scratch, kept
 
 CUT = 3.0
 CUTS = [1.0, 3.0, 9.0, 27.0]
@@ -52,24 +52,37 @@ def with_(*names: str, more: str = "") -> str:
 
 # --- the relations in Spark ---------------------------------------------------------------------
 class Ktn:
-    """The relations of one scale, each written once so that no loop derives them again."""
+    """The relations of one scale. Each is derived and written once in a session, by the first query that needs it."""
 
     def __init__(self, spark: SparkSession, sf: str, label: str):
         self.scratch = Scratch(spark, label)
-        self.minima = self.scratch.put(ctmc.part_minima(spark, sf), "minima")
-        self.ts = self.scratch.put(ctmc.part_ts(spark, sf), "ts")
-        self.nodes = self.minima.select(NET, F.col("min_id").alias("node"))
-        self._rates = None
+        self._kept = kept(spark, sf, ["part", "lineitem"], "ktn")
+        self._from = (spark, sf)
+
+    def keep(self, name: str, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = self._kept["scratch"].put(make(), name)
+        return self._kept[name]
 
     @property
-    def ab(self) -> DataFrame:
-        return ctmc.part_ab(self.minima)
+    def minima(self) -> DataFrame:
+        return self.keep("minima", lambda: ctmc.part_minima(*self._from))
+
+    @property
+    def ts(self) -> DataFrame:
+        return self.keep("ts", lambda: ctmc.part_ts(*self._from))
 
     @property
     def rates(self) -> DataFrame:
-        if self._rates is None:
-            self._rates = self.scratch.put(ctmc.tst_rates(self.ts, self.minima), "rates")
-        return self._rates
+        return self.keep("rates", lambda: ctmc.tst_rates(self.ts, self.minima))
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.minima.select(NET, F.col("min_id").alias("node"))
+
+    @property
+    def ab(self) -> DataFrame:
+        return ctmc.part_ab(self.minima)
 
     @property
     def states(self) -> DataFrame:
@@ -77,10 +90,13 @@ class Ktn:
         s = ctmc.equilibrium(self.minima).join(ctmc.waiting_times(self.rates).select(NET, "node", "tau"), [NET, "node"])
         return s.join(must, [NET, "node"], "left").select(NET, "node", "pi", "tau", F.coalesce("m", F.lit(False)).alias("must"))
 
+    @property
+    def components(self) -> DataFrame:
+        return self.keep("components", lambda: graph.components(self.scratch, self.nodes, self.rates.select(NET, "src", "dst")))
+
     def connected(self):
         """The largest component of each network: (nodes, rates, ab of it)."""
-        lab = graph.components(self.scratch, self.nodes, self.rates.select(NET, "src", "dst"))
-        core = self.scratch.put(graph.largest_component(lab), "core")
+        core = self.keep("core", lambda: graph.largest_component(self.components))
         m = self.minima.join(core.withColumnRenamed("node", "min_id"), [NET, "min_id"], "left_semi")
         r = self.rates.join(core.withColumnRenamed("node", "src"), [NET, "src"], "left_semi")
         return m, r, ctmc.part_ab(m)
@@ -123,8 +139,7 @@ def ktn_low_barrier_degree(spark, sf):
 
 
 def ktn_components(spark, sf):
-    k = Ktn(spark, sf, "k6")
-    return graph.components(k.scratch, k.nodes, k.rates.select(NET, "src", "dst"))
+    return Ktn(spark, sf, "k6").components
 
 
 def ktn_component_sizes(spark, sf):
@@ -144,8 +159,8 @@ def ktn_basin_keep_set(spark, sf):
 def ktn_keep_sweep(spark, sf):
     k = Ktn(spark, sf, "k8")
     b = ctmc.edge_barriers(k.ts, k.minima)
-    kept = graph.basin_keep_set(k.scratch, k.minima, b, k.ab, CUTS)
-    return kept.groupBy(NET, "cut").agg(F.count("*").alias("n_keep"))
+    sets = graph.basin_keep_set(k.scratch, k.minima, b, k.ab, CUTS)
+    return sets.groupBy(NET, "cut").agg(F.count("*").alias("n_keep"))
 
 
 def ctmc_rates(spark, sf):
@@ -207,7 +222,8 @@ def _micro(k):
     """Each network's largest component: (minima, jump moments, waiting times, ab)."""
     m, r, ab = k.connected()
     w = ctmc.waiting_times(r).select(NET, "node", "tau")
-    return m, k.scratch.put(reduce.jump_moments(ctmc.branching(r).select(NET, "src", "dst", "b"), w), "micro"), w, k.scratch.put(ab, "ab")
+    micro = k.keep("micro", lambda: reduce.jump_moments(ctmc.branching(r).select(NET, "src", "dst", "b"), w))
+    return m, micro, w, k.keep("ab", lambda: ab)
 
 
 def _reduced(spark, sf, label, percent=5.0, min_kept=50):
@@ -216,8 +232,8 @@ def _reduced(spark, sf, label, percent=5.0, min_kept=50):
     m, micro, w, ab = _micro(k)
     must = ab.select(NET, F.col("min_id").alias("node"), F.lit(True).alias("m"))
     s = ctmc.equilibrium(m).join(w, [NET, "node"]).join(must, [NET, "node"], "left").select(NET, "node", "pi", "tau", F.coalesce("m", F.lit(False)).alias("must"))
-    kept = k.scratch.put(ctmc.keep_states(s, "hybrid", percent, min_kept).filter("kept").select(NET, "node"), "kept")
-    return k, micro, k.scratch.put(reduce.transform(k.scratch, micro, kept), "reduced"), ab
+    chosen = k.keep(f"kept_{percent}_{min_kept}", lambda: ctmc.keep_states(s, "hybrid", percent, min_kept).filter("kept").select(NET, "node"))
+    return k, micro, k.keep(f"reduced_{percent}_{min_kept}", lambda: reduce.transform(k.scratch, micro, chosen)), ab
 
 
 def gt_reduce(spark, sf):
@@ -385,7 +401,7 @@ def feature_row(spark, sf):
     k = Ktn(spark, sf, "t6")
     e = k.rates
     t = graph.topology(k.nodes, e).select(NET, "n", "edges_und", "density", "deg_mean", "deg_max")
-    c = graph.component_sizes(graph.components(k.scratch, k.nodes, e.select(NET, "src", "dst"))).select(NET, "n_components", "largest_frac")
+    c = graph.component_sizes(k.components).select(NET, "n_components", "largest_frac")
     g = graph.triangles(k.nodes, e).groupBy(NET).agg(F.avg("clustering").alias("clustering_mean"))
     p = ctmc.equilibrium(k.minima).join(k.ab.select(NET, F.col("min_id").alias("node"), "side"), [NET, "node"])
     p = p.groupBy(NET).agg(F.sum(F.when(F.col("side") == "A", F.col("pi"))).alias("pi_a"), F.sum(F.when(F.col("side") == "B", F.col("pi"))).alias("pi_b"))

@@ -30,10 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _open: list[Scratch] = []
+_kept: dict[tuple, dict] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, tables: list[str], what: str) -> dict:
+    """A place for relations that several queries of a session derive from the same tables, empty at first.
+
+    It is another one as soon as a table's files change, or after ``clean``.
+    """
+    jvm, state = spark.sparkContext._jvm, []
+    for t in tables:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        state.append((fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()))
+    key = (what, spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), shared_dir(spark), sf_dir, tuple(state))
+    if key not in _kept:
+        _kept[key] = {"scratch": Scratch(spark, what)}
+    return _kept[key]
 
 
 def clean() -> None:
     """Removes the scratch tables of this session; their frames cannot be read afterwards. Also done when Python ends."""
+    _kept.clear()
     while _open:
         s = _open.pop()
         try:
