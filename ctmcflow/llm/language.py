@@ -76,36 +76,53 @@ class Filters:
     def __init__(self, slots: np.ndarray):
         if len(LANGUAGES) > 8 * slots.itemsize:
             raise ValueError(f"a slot of {slots.dtype} holds {8 * slots.itemsize} languages")
-        self.slots = slots
+        self.slots = slots.tobytes()
         fill = np.array([float(((slots >> b) & 1).mean()) for b in range(len(LANGUAGES))])
         self.chance = fill**HASHES
-        self.cache: dict[str, np.ndarray] = {}
+        self.bits = (np.arange(256)[:, None] >> np.arange(len(LANGUAGES))) & 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = _Numbers(self)
+        self.rows = np.zeros((1024, len(LANGUAGES)))
 
     def mask(self, gram: str) -> int:
         h = xxhash.xxh64_intdigest(gram.encode(), seed=42)
         bits, m = 0xFF, len(self.slots)
         for i in range(HASHES):
-            bits &= int(self.slots[(h >> (20 * i)) % m])
+            bits &= self.slots[(h >> (20 * i)) % m]
         return bits
 
     def evidence(self, word: str) -> np.ndarray:
         """Corrected share of the word's n-grams that each language has; the whole word weighs as much as all grams."""
-        got = self.cache.get(word)
-        if got is None:
-            if word.isdigit():
-                got = np.zeros(len(LANGUAGES))
-            else:
-                g = [self.mask(x) for x in word_grams(word)]
-                hit = np.array([[(m >> b) & 1 for b in range(len(LANGUAGES))] for m in g], float)
-                w = np.r_[max(1, len(g) - 1), np.ones(len(g) - 1)]
-                share = (hit * w[:, None]).sum(0) / w.sum()
-                got = np.maximum(0, (share - self.chance) / (1 - self.chance))
-                # letters no language knows say nothing; a word that all know says nothing either
-                got = got - got.mean()
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+        if word.isdigit():
+            return np.zeros(len(LANGUAGES))
+        hit = self.bits[[self.mask(x) for x in word_grams(word)]]
+        n = len(hit) - 1
+        share = (hit[0] * max(1, n) + hit[1:].sum(0)) / (max(1, n) + n)
+        got = np.maximum(0, (share - self.chance) / (1 - self.chance))
+        # letters no language knows say nothing; a word that all know says nothing either
+        return got - got.mean()
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Evidence of every word, one row each; a word is worked out once until ``clear``."""
+        at = list(map(self.words.__getitem__, words))
+        return self.rows[at] if at else np.zeros((0, len(LANGUAGES)))
+
+
+class _Numbers(dict):
+    """Word -> its row of the filters' evidence, filled as words come."""
+
+    def __init__(self, filters: Filters):
+        self.filters = filters
+
+    def __missing__(self, word: str) -> int:
+        f, n = self.filters, len(self)
+        if n == len(f.rows):
+            f.rows = np.concatenate([f.rows, np.zeros_like(f.rows)])
+        f.rows[n] = f.evidence(word)
+        self[word] = n
+        return n
 
 
 def train(df: DataFrame, slots: int = SLOTS) -> Filters:
@@ -194,8 +211,10 @@ def passages(df: DataFrame, filters: Filters, passage: int = PASSAGE) -> DataFra
         f = Filters(shared.value)
         for pdf in batches:
             out = []
+            if len(f.words) > 300_000:
+                f.clear()
             texts = [split_words(t) if isinstance(t, str) else [] for t in pdf["text"]]
-            scores = [np.array([f.evidence(w) for w in t]).reshape(len(t), len(LANGUAGES)) for t in texts]
+            scores = [f.scores(t) for t in texts]
             for doc, t, s, p in zip(pdf["doc_id"], texts, scores, paths(scores)):
                 letters = sum(not w.isdigit() for w in t)
                 if not letters or not s.any():
