@@ -20,7 +20,8 @@ def ext_event_ctmc(spark, sf):
 def ext_event_stream(spark, sf):
     """The same counts by a stateful stream."""
     s = Scratch(spark, "stream")
-    steps = chain.run_stream(spark, sf, "events.parquet", f"{s.root}/steps", f"{s.root}/checkpoint")
+    parts = models.is_folder(spark, f"{sf}/events.parquet")
+    steps = chain.run_stream(spark, f"{sf}/events.parquet" if parts else sf, "*.parquet" if parts else "events.parquet", f"{s.root}/steps", f"{s.root}/checkpoint")
     return steps.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.avg(F.col("dwell") / 1e6), 3).alias("dwell_s"))
 
 
@@ -61,10 +62,10 @@ def sink_union_reports(spark, sf):
 
 
 def sink_by_network(spark, sf):
-    """Edges written by network and read with one network's partition pruned away."""
+    """Edges written by network and read again, network by network."""
     s = Scratch(spark, "sink")
     sinks.write_by_network(table(spark, sf, "graph_edges").select("network_id", "edge_id"), f"{s.root}/edges")
-    return spark.read.parquet(f"{s.root}/edges").filter("network_id LIKE '%_99idps'").groupBy("network_id").agg(F.count("*").alias("n"), F.max("edge_id").alias("last"))
+    return spark.read.parquet(f"{s.root}/edges").groupBy("network_id").agg(F.count("*").alias("n"), F.max("edge_id").alias("last"))
 
 
 def source_ts_tolerant(spark, sf):
@@ -79,11 +80,11 @@ def source_ts_tolerant(spark, sf):
 
 
 def source_first_ids(spark, sf):
-    """Keep lists whose lines go on after the number: the first integer of each line."""
+    """Keep lists whose lines go on after the number, among comments and other lines: the first integer of each line."""
     s = Scratch(spark, "src5")
     m = ctmc.part_minima(spark, sf)
-    line = F.when(F.col("min_id") % 7 == 0, F.concat(F.lit("# "), F.col("min_id").cast("string"))).otherwise(F.concat_ws(" ", F.lit(" "), "min_id", F.col("energy").cast("string"), F.lit("12")))
-    m.select("network_id", line.alias("value")).repartition("network_id").write.partitionBy("network_id").text(f"{s.root}/ids")
+    line, note = F.concat_ws(" ", F.lit(" "), "min_id", F.col("energy").cast("string"), F.lit("12")), F.concat(F.lit("# "), F.col("min_id").cast("string"))
+    m.select("network_id", F.explode(F.array(line, note, F.lit(""), F.lit("kept 7"))).alias("value")).repartition("network_id").write.partitionBy("network_id").text(f"{s.root}/ids")
     return text.scan_first_ids(spark, f"{s.root}/ids")
 
 
@@ -214,9 +215,9 @@ SQL = {
     "source_ts_text": with_("ts") + "SELECT network_id, ROW_NUMBER() OVER (PARTITION BY network_id ORDER BY ts_order, f, i) AS ts_id, ROUND(e_ts, 6) AS e_ts, f, i FROM ts",
     "source_ab_text": with_("ab") + "SELECT network_id, min_id FROM ab",
     "sink_union_reports": "SELECT feature_id, dps_dir, status, n_nodes, NULL::BIGINT AS report_id, NULL::BIGINT AS n FROM graph_features_coarse_t300k UNION ALL SELECT NULL, dps_dir, status, NULL, report_id, n FROM micro_report_all",
-    "sink_by_network": "SELECT network_id, COUNT(*) AS n, MAX(edge_id) AS last FROM graph_edges WHERE network_id LIKE '%\\_99idps' ESCAPE '\\' GROUP BY 1",
+    "sink_by_network": "SELECT network_id, COUNT(*) AS n, MAX(edge_id) AS last FROM graph_edges GROUP BY 1",
     "source_ts_tolerant": with_("ts") + "SELECT network_id, COUNT(*) AS n, CAST(SUM(f) AS BIGINT) AS sum_f, CAST(SUM(i) AS BIGINT) AS sum_i, ROUND(SUM(e_ts), 4) AS sum_e FROM ts GROUP BY 1",
-    "source_first_ids": with_("minima") + "SELECT network_id, min_id FROM minima WHERE min_id % 7 <> 0",
+    "source_first_ids": with_("minima") + "SELECT network_id, min_id FROM minima",
     "source_discovery": "SELECT DISTINCT network_id, t_k FROM networks WHERE CAST(t_k AS INT) = 300 AND network_id IS NOT NULL",
     "source_model_fallback": with_("branch") + "SELECT network_id, src, dst, ROUND(k, 6) AS k, ROUND(b, 6) AS b FROM branch",
     "source_csv": "SELECT feature_id, variant, n_nodes, CASE WHEN feature_id % 5 <> 0 THEN ROUND(density, 6) END AS density, NULL::VARCHAR AS absent FROM graph_features_coarse_t300k",
