@@ -76,7 +76,7 @@ class Filters:
     def __init__(self, slots: np.ndarray):
         if len(LANGUAGES) > 8 * slots.itemsize:
             raise ValueError(f"a slot of {slots.dtype} holds {8 * slots.itemsize} languages")
-        self.slots = slots.tobytes()
+        self.slots, self.flat = slots, slots.tobytes()
         fill = np.array([float(((slots >> b) & 1).mean()) for b in range(len(LANGUAGES))])
         self.chance = fill**HASHES
         self.bits = (np.arange(256)[:, None] >> np.arange(len(LANGUAGES))) & 1
@@ -88,9 +88,9 @@ class Filters:
 
     def mask(self, gram: str) -> int:
         h = xxhash.xxh64_intdigest(gram.encode(), seed=42)
-        bits, m = 0xFF, len(self.slots)
+        bits, m = 0xFF, len(self.flat)
         for i in range(HASHES):
-            bits &= self.slots[(h >> (20 * i)) % m]
+            bits &= self.flat[(h >> (20 * i)) % m]
         return bits
 
     def evidence(self, word: str) -> np.ndarray:
