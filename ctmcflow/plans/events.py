@@ -93,7 +93,7 @@ def source_discovery(spark, sf):
     s = Scratch(spark, "src6")
     n = table(spark, sf, "networks").filter("network_id IS NOT NULL AND t_k IS NOT NULL").select("network_id", "t_k")
     # one small file per network and temperature stands for its model
-    n.select(F.concat(F.lit("markov_T"), F.col("t_k").cast("int"), F.lit("K")).alias("tag"), "network_id", F.lit("x").alias("value")).repartition(1).write.partitionBy("network_id", "tag").text(f"{s.root}/nets")
+    sinks.write_files(n.select(F.concat(F.lit("markov_T"), F.col("t_k").cast("int"), F.lit("K")).alias("tag"), "network_id", F.lit("x").alias("value")), f"{s.root}/nets", ["network_id", "tag"], "value")
     return text.discover_tagged(spark, f"{s.root}/nets", 300.0).select("network_id", "t_k")
 
 

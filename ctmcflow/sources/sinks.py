@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -24,6 +27,35 @@ def write_keep_lists(kept: DataFrame, path: str, overwrite: bool = False) -> Non
     out.repartition("network_id", "label").sortWithinPartitions("network_id", "label", "node").drop("node").write.partitionBy("network_id", "label").mode("overwrite" if overwrite else "ignore").text(path)
 
 
+def write_files(df: DataFrame, root: str, folders: list[str], value: str) -> None:
+    """A file of the column ``value`` in the folder that ``folders`` name (a=../b=..) for each of df's distinct rows; rows of one folder share it.
+
+    Folders of the local file system, which executors share, are filled by Python: Hadoop's would start a process or two for each file.
+    """
+    df = df.select(*folders, value).distinct()
+    spark, place = df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() != "file":
+        return df.repartition(*folders).write.partitionBy(*folders).text(root)
+    local = place.toUri().getPath()
+    part = [F.concat(F.lit(f"{c}="), F.url_encode(F.col(c).cast("string"))) for c in folders]
+    os.makedirs(local, exist_ok=True)
+    rows = df.groupBy(F.replace(F.concat_ws("/", *part), F.lit("+"), F.lit("%20")).alias("folder")).agg(F.collect_list(value).alias("lines"))
+
+    def fill(batches):
+        for pdf in batches:
+            for folder, lines in zip(pdf["folder"], pdf["lines"]):
+                at = local
+                for x in folder.split("/"):
+                    at = f"{at}/{x}"
+                    with contextlib.suppress(FileExistsError):
+                        os.mkdir(at)
+                with open(f"{local}/{folder}/part.txt", "w", encoding="utf-8") as f:
+                    f.writelines(f"{x}\n" for x in lines)
+        yield pd.DataFrame({"n": []})
+
+    rows.mapInPandas(fill, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Metrics rows as JSON, one folder per run (column ``run``)."""
     df.write.partitionBy("run").mode(mode).json(path)
