@@ -9,7 +9,7 @@ from ctmcflow.operators import single
 from ctmcflow.plans import features, networks
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ab_kinetics", "gt_reduce"]
+NAMES = ["ab_kinetics", "gt_reduce", "spectrum"]
 
 
 def rows(df):
