@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 from ctmcflow import session
@@ -9,7 +10,7 @@ from ctmcflow.operators import single
 from ctmcflow.plans import features, networks
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ab_kinetics", "gt_reduce", "spectrum"]
+NAMES = ["ab_kinetics", "gt_reduce", "spectrum", "committor_mfpt"]
 
 
 def rows(df):
@@ -35,3 +36,11 @@ def test_one_task_gives_what_joins_give(spark, monkeypatch, name):
                 assert math.isclose(g[c], v, rel_tol=1e-6, abs_tol=1e-12), (c, g, w)
             else:
                 assert g[c] == v, (c, g, w)
+
+
+def test_more_states_than_a_matrix_are_left_to_the_joins():
+    minima = pd.DataFrame({"min_id": [1, 2, 3], "energy": [0.0, 1.0, 2.0], "log_prod": [0.0, 0.1, 0.2]})
+    net = single.Net(minima, pd.DataFrame({"f": [1, 2], "i": [3, 3], "e_ts": [3.0, 3.5], "s_ts": [0.0, 0.0]}))
+    assert single.committor_mfpt(net, dense=3)["committor"].tolist() == pytest.approx([0, 1, 1 / (1 + math.exp(0.5))])
+    with pytest.raises(single.Joined):
+        single.committor_mfpt(net, dense=2)
