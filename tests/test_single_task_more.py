@@ -10,7 +10,7 @@ from ctmcflow.operators import single
 from ctmcflow.plans import features, networks
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["ab_kinetics", "gt_reduce", "spectrum", "committor_mfpt", "graph_features"]
+NAMES = ["ab_kinetics", "gt_reduce", "spectrum", "committor_mfpt", "graph_features", "graph_features_lite"]
 
 
 def rows(df):
