@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from ctmcflow import session
-from ctmcflow.operators import single
+from ctmcflow.operators import reduce, single
 from ctmcflow.plans import features, networks
 
 SF = "/root/testdata/sf0.001"
@@ -38,9 +39,26 @@ def test_one_task_gives_what_joins_give(spark, monkeypatch, name):
                 assert g[c] == v, (c, g, w)
 
 
-def test_more_states_than_a_matrix_are_left_to_the_joins():
-    minima = pd.DataFrame({"min_id": [1, 2, 3], "energy": [0.0, 1.0, 2.0], "log_prod": [0.0, 0.1, 0.2]})
-    net = single.Net(minima, pd.DataFrame({"f": [1, 2], "i": [3, 3], "e_ts": [3.0, 3.5], "s_ts": [0.0, 0.0]}))
-    assert single.committor_mfpt(net, dense=3)["committor"].tolist() == pytest.approx([0, 1, 1 / (1 + math.exp(0.5))])
+def chain(n: int) -> single.Net:
+    """A ring with some chords."""
+    rng = np.random.default_rng(1)
+    minima = pd.DataFrame({"min_id": range(n), "energy": rng.uniform(0, 5, n), "log_prod": rng.uniform(0, 1, n)})
+    f, i = np.r_[np.arange(n), rng.integers(n, size=n)], np.r_[(np.arange(n) + 1) % n, rng.integers(n, size=n)]
+    return single.Net(minima, pd.DataFrame({"f": f, "i": i, "e_ts": 6.0 + rng.uniform(0, 2, 2 * n), "s_ts": 0.1}))
+
+
+@pytest.mark.parametrize("most, dense", [(60, 2), (4, 55)])
+def test_states_removed_first_get_their_values_back(monkeypatch, most, dense):
+    monkeypatch.setattr(reduce.remove_sparse, "__defaults__", (most, None))
+    want, got = (single.committor_mfpt(chain(60), dense=n) for n in (60, dense))
+    assert got["node"].tolist() == want["node"].tolist() == list(range(60))
+    for c in ("committor", "mfpt_to_b"):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-12)
+
+
+def test_more_states_than_one_task_takes_are_left_to_the_joins(monkeypatch):
+    net = chain(60)
+    monkeypatch.setattr(reduce, "LOCAL", 57)
     with pytest.raises(single.Joined):
-        single.committor_mfpt(net, dense=2)
+        single.committor_mfpt(net, dense=59)
+    assert len(single.committor_mfpt(net, dense=60)) == 60
